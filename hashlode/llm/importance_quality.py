@@ -30,7 +30,7 @@ BUCKETS = 1 << BITS
 
 def _ngrams(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, payload index) of all word 1-grams and 2-grams."""
-    h, owner, _, _ = word_hashes(payloads)
+    h, owner = word_hashes(payloads)
     pair = mix(h[:-1] * np.uint64(3) + h[1:])
     same = owner[:-1] == owner[1:]
     bucket = np.concatenate((h, pair[same])) >> np.uint64(64 - BITS)

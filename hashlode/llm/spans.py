@@ -52,15 +52,18 @@ def blocks(payloads: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         yield first, held
 
 
-def word_hashes(payloads: list[bytes], separators: bytes = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, payload index, start, end) of every word; starts and ends count in the payloads joined by one space."""
-    flat = np.frombuffer(b" ".join(payloads) + b" ", dtype=np.uint8)
-    space = _IS_SPACE[flat]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
+def flat_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every word of ``data``, which must end with white space."""
+    flat = np.frombuffer(data, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _IS_SPACE[flat])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     up, down = _powers(len(flat))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)])))
-    h = mix((sums[ends] - sums[starts]) * down[starts])
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
+
+
+def word_hashes(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, payload index) of every word, in order."""
+    h, starts, _ = flat_words(b" ".join(payloads) + b" ")
     lengths = np.fromiter((len(p) + 1 for p in payloads), np.int64, len(payloads))
-    owner = np.searchsorted(np.cumsum(lengths), starts, side="right")
-    return h, owner, starts, ends
+    return h, np.searchsorted(np.cumsum(lengths), starts, side="right")
