@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from hashlode.llm import byte_bpe, embedding_dedup, importance_quality, language_id, line_dedup, mixing, sharding, simhash, warc
+from hashlode.llm import byte_bpe, embedding_dedup, importance_quality, language_id, line_dedup, mixing, progressive_jpeg, sharding, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_byte_bpe": byte_bpe.query,
     "op3_line_dedup": line_dedup.query,
     "op4_embedding_dedup": embedding_dedup.query,
+    "op5_progressive_jpeg": progressive_jpeg.query,
     "op6_sharding": sharding.query,
     "op7_simhash": simhash.query,
     "op8_language_id": language_id.query,
