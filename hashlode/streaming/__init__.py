@@ -1 +1 @@
-"""See the package README."""
+"""Structured Streaming: captured packets, registry upserts, rolling dedup, request matching."""
