@@ -154,11 +154,15 @@ def fit(
     """Train on a sample of rows with language and text: the ``per_language`` rows of least hash of the id of each
     language, at most ``most_rows`` in all, taken in turn. Only their n-gram counts (at most BUCKETS each) reach
     the driver."""
-    order = F.xxhash64(id_col)
     w = Window.partitionBy("lang").orderBy("h", "id")
+    told = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.xxhash64(id_col).alias("h")
+    )
+    # a share of each language by hash comes to the window, about twice what is wanted, however large the language is
+    share = (told.groupBy("lang").agg(F.count("*").alias("c"))).select(F.col("lang").alias("l"), ((2.0 * per_language + 100) / F.col("c")).alias("share"))
+    draw = F.shiftrightunsigned("h", 11) / float(1 << 53)
     picked = (
-        docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull() & F.col(text).rlike(r"\p{L}"))
-        .select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), order.alias("h"))
+        told.join(share, F.col("lang") == F.col("l")).where(draw < F.col("share"))
         .withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
         .orderBy("n", "h", "id").limit(most_rows).select("id").distinct()
     )
@@ -191,11 +195,11 @@ def hash_key(value: object) -> int:
     return xxhash.xxh64_intdigest(str(value), 7)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and rejected; columns of these names are replaced."""
+def predict(docs: DataFrame, model: Model, text: str = "text", added: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``docs`` with language, score (0 to 1) and rejection, named by ``added``; columns of these names are replaced."""
     import regex
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    names = [c for c in docs.columns if c not in added]
     kept = docs.select(*names)
     where = names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages: bounded
@@ -219,10 +223,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         lang[i] = m.languages[k]
                 rejected = [x == UNDETERMINED or s < m.threshold for x, s in zip(lang, score, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"]
+                    [*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected, pa.bool_())], names=[*names, *added]
                 )
 
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return kept.mapInArrow(run, f"{fields}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` boolean")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -240,5 +244,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected; their columns as they were."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    renamed = docs.withColumns({}) if "rejected" not in docs.columns else docs.drop("rejected", "lang_pred", "score")
-    return predict(renamed, model).where("not rejected").select(*docs.columns)
+    return predict(docs, model, added=("__lang", "__score", "__rejected")).where("NOT __rejected").select(*docs.columns)
