@@ -5,10 +5,11 @@ A line (of a text cut at "\n") is the set of its words ``[^\x20\x09-\x0D]+``. A
 equal sets are one class. Words are ordered by rarity, from counts over all documents in a fixed number of hash
 buckets (any one order is exact; rarity makes it fast). Two sets of similarity t share a word among the first
 n - ceil(t n) + 1 of each (prefix filter), so classes meet under those words. Pairs that meet are dropped when sizes
-differ too much (length filter), when too few words follow (positional filter), or when 64-bit signatures of the sets
-differ in more bits than the sets may in words (bitmap filter); what is left is verified on the words. A class needs
-one earlier match only: first the earliest survivors of each word are verified, then, for classes still open, all.
-Words that may be in more than ``TILE`` lines are cut into tiles, whose pairs meet in different tasks.
+differ too much (length filter), when too few words follow (positional filter), or when signatures of the sets (counts
+by hash group) differ by more than the sets may in words; what is left is verified on the words. A class needs
+one earlier match only: first the survivor whose signature is closest is verified, then, for classes still open, all.
+Words that may be in more than ``TILE`` lines are cut into tiles, whose pairs meet in different tasks. A task passes
+on a class once, under its earliest line there, so a line that is everywhere does not fill the join.
 
 Lines without a word and rows of null id take no part and stay. Null text stays null. Rows of equal id hold their
 lines at the same place: neither is the earlier one. No documents give no rows. Sets are told apart by 64-bit hashes.
@@ -20,21 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashlode.llm.shared import drop_stored, stored, table
+from hashlode.llm.shared import stored, table
 from hashlode.llm.spans import blocks, flat_words, mix
 
 THRESHOLD = (4, 5)  # 0.8
 BITS = 18
 BUCKETS = 1 << BITS
 TILE = 1 << 15
-FIRST = 2
-INDEX_ROWS = 400_000
-PAIRS_AT_ONCE = 1 << 20
-LINE_BITS, DOC_BITS = 24, 22
-_LINES = "doc {id}, line int, cls long, size int, bits long, prefix array<long>, tiles array<int>"
+BROADCAST_ROWS = 200_000
+INDEX_ROWS = 250_000
+PAIRS_AT_ONCE = 1 << 18
+LINE_BITS, DOC_BITS, WORD_BITS = 24, 22, 24
+PIECE_BYTES = 1 << 20
+_LINES = "doc {id}, line int, cls long, size int, bits long, bits2 long, prefix array<long>"
 
 
 def _payloads(column: pa.Array) -> list[bytes]:
@@ -64,10 +67,46 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(counts + 1.0) * 25, 1023).astype(np.uint64)
 
 
+def pieces(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Payloads cut at line ends to bounded size: (pieces, payload of each, number of its first line)."""
+    out, owner, number = [], [], []
+    for i, p in enumerate(payloads):
+        lo = line = 0
+        while True:
+            cut = p.find(b"\n", lo + PIECE_BYTES) if len(p) - lo > PIECE_BYTES else -1
+            part = p[lo:cut] if cut >= 0 else p[lo:]
+            out.append(part)
+            owner.append(i)
+            number.append(line)
+            if cut < 0:
+                break
+            line += part.count(b"\n") + 1
+            lo = cut + 1
+    return out, np.array(owner, np.int64), np.array(number, np.int64)
+
+
+def signature(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Thirty-two counts modulo 16, in two words: how many words of each set fall in each of 32 hash groups."""
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    counts = np.bincount(row * 32 + (h & np.uint64(31)).astype(np.int64), minlength=len(first) * 32).reshape(-1, 32).astype(np.uint64) & np.uint64(15)
+    place = np.uint64(4) * np.arange(16, dtype=np.uint64)
+    return (counts[:, :16] << place).sum(axis=1, dtype=np.uint64), (counts[:, 16:] << place).sum(axis=1, dtype=np.uint64)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At least so many words are in one set only: the sum of the circular distances of the counts."""
+    low, one, total = np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x0101010101010101), 0
+    for shift in (np.uint64(0), np.uint64(4)):
+        d = (((a >> shift) & low) + np.uint64(0x1010101010101010) - ((b >> shift) & low)) & low
+        over = (d >> np.uint64(3)) & one
+        total = total + ((((d ^ (over * np.uint64(15))) + over) * one) >> np.uint64(56)).astype(np.int64)
+    return total
+
+
 class Sets:
-    """Word sets of the lines of a block of payloads, flat and in order of rarity within a line."""
+    """Word sets of the lines of a block of pieces, flat and in order of rarity within a line."""
 
-    def __init__(self, held: list[bytes], rare: np.ndarray):
+    def __init__(self, held: list[bytes], rare: np.ndarray, owner: np.ndarray, number: np.ndarray):
         data = b"\n".join(held) + b"\n"
         h, starts, _ = flat_words(data)
         breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
@@ -85,54 +124,69 @@ class Sets:
         self.h, line = h[new], line[new]
         self.first = np.flatnonzero(np.diff(line, prepend=-1))  # of each line that has words
         self.size = np.diff(np.append(self.first, len(line)))
-        self.line = line[self.first]
+        line = line[self.first]
         begin = np.cumsum([0, *(p.count(b"\n") + 1 for p in held)])
-        self.owner = np.searchsorted(begin, self.line, side="right") - 1
-        self.number = self.line - begin[self.owner]
+        piece = np.searchsorted(begin, line, side="right") - 1
+        self.owner = owner[piece]
+        self.number = line - begin[piece] + number[piece]
 
 
-def _wide_blocks(payloads: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Blocks whose lines can be counted in 22 bits; a payload of more lines than that is refused."""
-    for first, held in blocks(payloads):
-        if sum(p.count(b"\n") + 1 for p in held) >= 1 << 22:
-            raise ValueError("a document has over 4 million lines")
-        yield first, held
+def _sets(column: pa.Array, rare: np.ndarray) -> Iterator[Sets]:
+    cut, owner, number = pieces(_payloads(column))
+    for first, held in blocks(cut):
+        s = Sets(held, rare, owner[first : first + len(held)], number[first : first + len(held)])
+        if len(s.first):
+            yield s
 
 
-def line_sets(docs: DataFrame, counts: np.ndarray, threshold: tuple[int, int] = THRESHOLD, text: str = "text", id_col: str = "doc_id", tile: int = TILE) -> DataFrame:
-    """One row per line with words: doc, line, cls (hash of the set), size, bits, prefix words, and tiles of each."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS counts: bounded
+def _dense(values: pa.Array) -> np.ndarray:
+    """Ranks of the values, equal ones alike."""
+    return pc.rank(values, sort_keys="ascending", tiebreaker="dense").to_numpy()
+
+
+def line_sets(docs: DataFrame, counts: np.ndarray, threshold: tuple[int, int] = THRESHOLD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per line with words: doc, line, cls (hash of the set), size, bits, and, once per class and task, under
+    its earliest line there, the prefix words."""
+    shared = docs.sparkSession.sparkContext.broadcast(rarity(counts))  # BUCKETS numbers: bounded
     num, den = threshold
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        rare = rarity(counts)
+        rare = shared.value
+        docs_, lines, classes, sizes, low, high, words = [], [], [], [], [], [], []
         for batch in batches:
-            for at, held in _wide_blocks(_payloads(batch.column(1))):
-                s = Sets(held, rare)
-                if not len(s.first):
-                    continue
-                cls = mix(np.add.reduceat(mix(s.h ^ np.uint64(0x5BD1E995)), s.first) + s.size.astype(np.uint64))
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (s.h & np.uint64(63)), s.first)
+            for s in _sets(batch.column(1), rare):
+                classes.append(mix(np.add.reduceat(mix(s.h ^ np.uint64(0x5BD1E995)), s.first) + s.size.astype(np.uint64)))
+                for kept, found in zip((low, high), signature(s.h, s.first), strict=True):
+                    kept.append(found)
                 prefix = s.size - -(-s.size * num // den) + 1
                 place = np.arange(len(s.h)) - np.repeat(s.first, s.size)
-                words = s.h[place < np.repeat(prefix, s.size)]
-                tiles = np.maximum(-(-counts[(words >> np.uint64(64 - BITS)).astype(np.int64)] // tile), 1)
-                offsets = pa.array(np.append(0, np.cumsum(prefix)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(at + s.owner)), pa.array(s.number.astype(np.int32)), pa.array(cls.view(np.int64)), pa.array(s.size.astype(np.int32)), pa.array(bits.view(np.int64)),
-                        pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(tiles.astype(np.int32))),
-                    ],
-                    names=["doc", "line", "cls", "size", "bits", "prefix", "tiles"],
-                )
+                words.append(s.h[place < np.repeat(prefix, s.size)])
+                docs_.append(batch.column(0).take(pa.array(s.owner)))
+                lines.append(s.number)
+                sizes.append(s.size)
+        if not docs_:
+            return
+        doc, line, cls, size, bits, bits2, flat = pa.concat_arrays(docs_), *map(np.concatenate, (lines, classes, sizes, low, high, words))
+        order = np.lexsort((line, _dense(doc), cls))
+        lead = np.zeros(len(cls), bool)
+        lead[order] = np.concatenate(([True], cls[order][1:] != cls[order][:-1]))
+        ends = np.cumsum(size - -(-size * num // den) + 1)
+        for lo in range(0, len(cls), 20_000):
+            hi = min(lo + 20_000, len(cls))
+            begin = int(ends[lo - 1]) if lo else 0
+            offsets = pa.array(np.concatenate(([0], ends[lo:hi] - begin)).astype(np.int32))
+            prefix = pa.ListArray.from_arrays(offsets, pa.array(flat[begin : int(ends[hi - 1])].view(np.int64)), mask=pa.array(~lead[lo:hi]))
+            yield pa.RecordBatch.from_arrays(
+                [doc.slice(lo, hi - lo), pa.array(line[lo:hi].astype(np.int32)), pa.array(cls[lo:hi].view(np.int64)), pa.array(size[lo:hi].astype(np.int32)), pa.array(bits[lo:hi].view(np.int64)), pa.array(bits2[lo:hi].view(np.int64)), prefix],
+                names=["doc", "line", "cls", "size", "bits", "bits2", "prefix"],
+            )
 
     return docs.where(F.col(id_col).isNotNull()).select(id_col, text).mapInArrow(run, _LINES.format(id=id_type))
 
 
-def survivors(word: np.ndarray, size: np.ndarray, pos: np.ndarray, bits: np.ndarray, threshold: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) under one word, i < j, that pass the filters. Rows are sorted by (word, size)."""
+def survivors(word: np.ndarray, size: np.ndarray, pos: np.ndarray, bits: np.ndarray, bits2: np.ndarray, threshold: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, least words apart) under one word, i < j, that pass the filters. Rows are sorted by (word, size)."""
     num, den = threshold
     n = len(word)
     group = np.cumsum(np.concatenate(([0], (word[1:] != word[:-1]).astype(np.int64)))) if n else np.zeros(0, np.int64)
@@ -149,98 +203,133 @@ def survivors(word: np.ndarray, size: np.ndarray, pos: np.ndarray, bits: np.ndar
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         total = size[i] + size[j]
         need = -(-num * total // (num + den))
-        ok = (1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= need) & (np.bitwise_count(bits[i] ^ bits[j]) <= total - 2 * need)
-        yield i[ok], j[ok]
+        ok = np.flatnonzero(np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need)  # positional filter
+        i, j, most = i[ok], j[ok], (total - 2 * need)[ok]
+        far = apart(bits[i], bits[j])
+        ok = np.flatnonzero(far <= most)
+        i, j, most = i[ok], j[ok], most[ok]
+        far = far[ok] + apart(bits2[i], bits2[j])
+        ok = far <= most
+        yield i[ok], j[ok], far[ok]
         lo = hi
 
 
-def candidates(index: DataFrame, threshold: tuple[int, int], first: int | None) -> DataFrame:
-    """index(word, t, cls, size, pos, bits, doc, line, open): pairs of a later, open class with an earlier one.
+def candidates(index: DataFrame, threshold: tuple[int, int], best: bool) -> DataFrame:
+    """index(word, cls, bits, bits2, doc, line, sp, open): pairs of a later, open class with an earlier one, by (doc, line).
 
-    Of each later class the ``first`` earliest under each word (None: all); more tells that there were others.
+    ``best``: of each later class the one with the closest signature under each word, and whether there were more.
     """
     id_type = index.schema["doc"].dataType.simpleString()
-    schema = f"later long, doc {id_type}, line int, earlier long, edoc {id_type}, eline int, more boolean"
+    schema = f"later long, doc {id_type}, line int, edoc {id_type}, eline int, apart int, more boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        col = {c: t[c].to_numpy() for c in ("word", "t", "cls", "size", "pos", "bits", "line", "open")}
-        order = np.lexsort((col["size"], col["t"], col["word"]))
         doc = t["doc"].combine_chunks()
-        # the rank of (doc, line): nulls were left out
+        doc = pa.concat_arrays(doc.chunks) if isinstance(doc, pa.ChunkedArray) else doc
+        col = {c: t[c].to_numpy() for c in ("word", "cls", "bits", "bits2", "line", "sp", "open")}
         rank = np.empty(t.num_rows, np.int64)
-        rank[np.lexsort((col["line"], doc.rank(sort_keys="ascending", tiebreaker="dense").to_numpy() if hasattr(doc, "rank") else _dense(doc)))] = np.arange(t.num_rows)
-        col = {c: v[order] for c, v in col.items()}
-        rank, size, pos = rank[order], col["size"].astype(np.int64), col["pos"].astype(np.int64)
-        word = np.cumsum(np.concatenate(([0], ((col["word"][1:] != col["word"][:-1]) | (col["t"][1:] != col["t"][:-1])).astype(np.int64))))
-        seen: list[np.ndarray] = []
-        for i, j in survivors(word, size, pos, col["bits"].view(np.uint64), threshold):
+        by_place = np.lexsort((col["line"], _dense(doc)))
+        rank[by_place] = np.arange(t.num_rows)
+        # a class that several tasks passed on: its earliest line
+        order = np.lexsort((rank, col["cls"], col["word"]))
+        w, c = col["word"][order], col["cls"][order]
+        order = order[np.concatenate(([True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])))]
+        order = order[np.lexsort((col["sp"][order] >> 32, col["word"][order]))]
+        col = {k: v[order] for k, v in col.items()}
+        rank = rank[order]
+        bits, bits2 = col["bits"].view(np.uint64), col["bits2"].view(np.uint64)
+        kept = [np.zeros((3, 0), np.int64)]
+        for i, j, far in survivors(col["word"], col["sp"] >> 32, col["sp"] & 0xFFFFFFFF, bits, bits2, threshold):
             swap = rank[i] > rank[j]
             later, earlier = np.where(swap, i, j), np.where(swap, j, i)
-            ok = col["open"][later] & (col["cls"][later] != col["cls"][earlier])
-            later, earlier = later[ok], earlier[ok]
-            seen.append(np.stack((later, earlier)))
-            if first is not None and sum(x.shape[1] for x in seen) > 2 * PAIRS_AT_ONCE:
-                seen = [_earliest(np.concatenate(seen, axis=1), rank, first + 1)]
-        if not seen:
-            return
-        pairs = np.concatenate(seen, axis=1)
-        if not pairs.shape[1]:
-            return
+            ok = col["open"][later]
+            kept.append(np.stack((later[ok], earlier[ok], far[ok])))
+            if best and sum(x.shape[1] for x in kept) > 2 * PAIRS_AT_ONCE:
+                kept = [_closest(np.concatenate(kept, axis=1), rank, 2)]
+        pairs = np.concatenate(kept, axis=1)
         more = np.zeros(pairs.shape[1], bool)
-        if first is not None:
-            pairs = _earliest(pairs, rank, first + 1)
+        if best:
+            pairs = _closest(pairs, rank, 2)
             nth = _nth(pairs[0])
-            full = np.unique(pairs[0][nth == first])
-            more = np.isin(pairs[0], full)[nth < first]
-            pairs = pairs[:, nth < first]
-        later, earlier = pairs
-        # one pair once from this task
-        _, once = np.unique(np.stack((col["cls"][later], col["cls"][earlier])), axis=1, return_index=True)
-        if more.any():  # whether any word had more
-            flagged = np.unique(col["cls"][later[more]])
-            more = np.isin(col["cls"][later], flagged)
-        later, earlier, more = later[once], earlier[once], more[once]
-        for lo in range(0, len(later), 50_000):
-            a, b = later[lo : lo + 50_000], earlier[lo : lo + 50_000]
+            more = np.isin(pairs[0], pairs[0][nth == 1])[nth == 0]
+            pairs = pairs[:, nth == 0]
+        for lo in range(0, pairs.shape[1], 50_000):
+            a, b, d = pairs[:, lo : lo + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(col["cls"][a]), doc.take(pa.array(order[a])), pa.array(col["line"][a]), pa.array(col["cls"][b]), doc.take(pa.array(order[b])), pa.array(col["line"][b]), pa.array(more[lo : lo + 50_000])],
-                names=["later", "doc", "line", "earlier", "edoc", "eline", "more"],
-            )
+                [
+                    pa.array(col["cls"][a]), doc.take(pa.array(order[a])), pa.array(col["line"][a]), doc.take(pa.array(order[b])), pa.array(col["line"][b]),
+                    pa.array(d.astype(np.int32)), pa.array(more[lo : lo + 50_000]),
+                ],
+                names=["later", "doc", "line", "edoc", "eline", "apart", "more"],
+            )
 
     return index.mapInArrow(run, schema)
 
 
-def _dense(values: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return pc.rank(values, sort_keys="ascending", tiebreaker="dense").to_numpy()
-
-
 def _nth(sorted_: np.ndarray) -> np.ndarray:
     """0, 1, 2... within runs of equal values."""
     start = np.flatnonzero(np.diff(sorted_, prepend=-1))
     return np.arange(len(sorted_)) - np.repeat(start, np.diff(np.append(start, len(sorted_))))
 
 
-def _earliest(pairs: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
-    """Of each later row the ``most`` earliest partners."""
-    pairs = pairs[:, np.lexsort((rank[pairs[1]], pairs[0]))]
+def _closest(pairs: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
+    """Of each later row the ``most`` partners of the closest signatures, the earliest first."""
+    pairs = pairs[:, np.lexsort((rank[pairs[1]], pairs[2], pairs[0]))]
     return pairs[:, _nth(pairs[0]) < most]
 
 
-def _index(classes: DataFrame, parts: int) -> DataFrame:
-    """Rows (word, t) of the prefix words; t tells the pair of tiles, 0 where there is one tile."""
-    rows = classes.select("cls", "size", "bits", "doc", "line", "open", "tiles", F.posexplode("prefix").alias("pos", "word"))
-    rows = rows.withColumn("k", F.element_at("tiles", F.col("pos") + 1)).drop("tiles")
-    mine = F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")
-    others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
-    rows = rows.withColumn("t", F.least("mine", "other") * F.col("k") + F.greatest("mine", "other")).drop("mine", "other", "k")
-    return rows.select("word", F.col("t").cast("long").alias("t"), "cls", "size", "pos", "bits", "doc", "line", "open").repartition(parts, "word", "t")
+def _word_spots(rows: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over column word."""
+    spot = F.shiftrightunsigned("word", 64 - WORD_BITS)
+    found = rows.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(word, {64 - WORD_BITS}) & 63 AS INT))")).alias("m")).toArrow()
+    words = np.zeros((1 << WORD_BITS) // 64, np.uint64)
+    words[found["w"].to_numpy()] = found["m"].to_numpy().view(np.uint64)
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _index(lines: DataFrame, counts: np.ndarray, tile: int, only: np.ndarray | None = None) -> DataFrame:
+    """A row for each prefix word of each class; words of several tiles are keyed by pairs of tiles. ``only``: the
+    words to keep, as a bitmap (and some that share its bits)."""
+    shared = lines.sparkSession.sparkContext.broadcast((counts, only))  # fixed sizes
+    id_type = lines.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, only = shared.value
+        for batch in batches:
+            prefix = batch.column(4)
+            n = np.diff(prefix.offsets.to_numpy())
+            word = prefix.flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), n)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            tiles = np.maximum(-(-counts[(word >> np.uint64(64 - BITS)).astype(np.int64)] // tile), 1)
+            cls = batch.column(0).to_numpy()
+            many = np.flatnonzero(tiles > 1)
+            if len(many):
+                k = tiles[many]
+                mine = np.repeat((mix(cls[row[many]].view(np.uint64)) % k.astype(np.uint64)).astype(np.int64), k)
+                other = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                at = np.repeat(many, k)
+                t = np.minimum(mine, other) * np.repeat(k, k) + np.maximum(mine, other) + 1
+                keyed = mix(word[at] + t.astype(np.uint64))
+                one = tiles == 1
+                word, row, pos = np.concatenate((word[one], keyed)), np.concatenate((row[one], row[at])), np.concatenate((pos[one], pos[at]))
+            if only is not None:
+                asked = only[(word >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+                word, row, pos = word[asked], row[asked], pos[asked]
+            size = batch.column(1).to_numpy().astype(np.int64)
+            for lo in range(0, len(row), 50_000):
+                r = pa.array(row[lo : lo + 50_000])
+                sp = size[row[lo : lo + 50_000]] << 32 | pos[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word[lo : lo + 50_000].view(np.int64)), batch.column(0).take(r), batch.column(2).take(r), batch.column(6).take(r), batch.column(3).take(r), batch.column(5).take(r), pa.array(sp)],
+                    names=["word", "cls", "bits", "bits2", "doc", "line", "sp"],
+                )
+
+    rows = lines.where("prefix IS NOT NULL").select("cls", "size", "bits", "doc", "prefix", "line", "bits2")
+    return rows.mapInArrow(run, f"word long, cls long, bits long, bits2 long, doc {id_type}, line int, sp long")
 
 
 def _spots(needed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -276,63 +365,55 @@ def fetch_words(docs: DataFrame, needed: DataFrame, text: str, id_col: str) -> D
         in_docs, in_lines = shared.value
         rare = np.zeros(BUCKETS, np.uint64)
         for batch in batches:
-            hashes = batch.column(1).to_numpy().view(np.uint64)
-            kept = pa.array(np.flatnonzero(in_docs[_doc_spot(hashes)]))
-            part = batch.take(kept)
-            for at, held in _wide_blocks(_payloads(part.column(2))):
-                s = Sets(held, rare)
-                wanted = in_lines[_line_spot(part.column(1).to_numpy().view(np.uint64)[at + s.owner], s.number.astype(np.uint64))]
+            part = batch.take(pa.array(np.flatnonzero(in_docs[_doc_spot(batch.column(1).to_numpy().view(np.uint64))])))
+            hashes = part.column(1).to_numpy().view(np.uint64)
+            for s in _sets(part.column(2), rare):
+                wanted = in_lines[_line_spot(hashes[s.owner], s.number.astype(np.uint64))]
                 if wanted.any():
                     words = s.h[np.repeat(wanted, s.size)]
                     offsets = pa.array(np.append(0, np.cumsum(s.size[wanted])).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(at + s.owner[wanted])), pa.array(s.number[wanted].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))], names=["doc", "line", "words"]
-                    )
+                        [part.column(0).take(pa.array(s.owner[wanted])), pa.array(s.number[wanted].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))],
+                        names=["doc", "line", "words"],
+                    )
 
     return docs.where(F.col(id_col).isNotNull()).select(id_col, F.xxhash64(id_col), text).mapInArrow(run, f"doc {id_type}, line int, words array<long>")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], text: str, id_col: str) -> DataFrame:
-    """Pairs with column alike: whether the word sets reach the threshold."""
+    """Stored pairs with column alike: whether the word sets reach the threshold."""
     num, den = threshold
-    needed = pairs.select("doc", "line").union(pairs.select("edoc", "eline")).distinct()
-    words = stored(fetch_words(docs, needed, text, id_col).dropDuplicates(["doc", "line"]), "words")
-    a = words.select("doc", "line", F.col("words").alias("wa"))
-    b = words.select(F.col("doc").alias("edoc"), F.col("line").alias("eline"), F.col("words").alias("wb"))
-    both = pairs.join(a, ["doc", "line"]).join(b, ["edoc", "eline"])
-    common = F.size(F.array_intersect("wa", "wb"))
-    return both.withColumn("alike", common * (num + den) >= num * (F.size("wa") + F.size("wb"))).drop("wa", "wb")
-
-
-def later_matches(
-    docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: str = "text", id_col: str = "doc_id", tile: int = TILE, first: int = FIRST
-) -> DataFrame:
+    earlier = fetch_words(docs, pairs.select(F.col("edoc").alias("doc"), F.col("eline").alias("line")).distinct(), text, id_col).toDF("edoc", "eline", "wb")
+    later = fetch_words(docs, pairs.select("doc", "line").distinct(), text, id_col).toDF("doc", "line", "wa")
+    both = pairs.join(earlier, ["edoc", "eline"]).join(later, ["doc", "line"])
+    return both.withColumn("alike", F.size(F.array_intersect("wa", "wb")) * (num + den) >= num * (F.size("wa") + F.size("wb"))).drop("wa", "wb")
+
+
+def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: str = "text", id_col: str = "doc_id", tile: int = TILE) -> DataFrame:
     """(doc, line) of every line that has an earlier match."""
-    spark = docs.sparkSession
-    lines = stored(line_sets(docs, word_counts(docs, text), threshold, text, id_col, tile), "lines")
-    classes = lines.groupBy("cls").agg(
-        F.min(F.struct("doc", "line")).alias("at"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.first("tiles").alias("tiles")
-    )
-    classes = classes.select("cls", "size", "bits", "prefix", "tiles", "at.doc", "at.line")
+    counts = word_counts(docs, text)
+    lines = stored(line_sets(docs, counts, threshold, text, id_col), "lines")
     rows = lines.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // INDEX_ROWS)
-    found = stored(
-        candidates(_index(classes.withColumn("open", F.lit(True)), parts), threshold, first)
-        .groupBy("later", "doc", "line", "earlier", "edoc", "eline").agg(F.max("more").alias("more")), "candidates",
-    )
-    told = stored(_verify(found, docs, threshold, text, id_col).select("later", "alike", "more"), "verified")
-    matched = told.where("alike").select("later").distinct()
-    open_ = stored(told.groupBy("later").agg(F.max("alike").alias("alike"), F.max("more").alias("more")).where("NOT alike AND more").select(F.col("later").alias("cls")), "open")
-    if open_.limit(1).count():
-        # their words, and all classes under those
-        asked = classes.join(open_.withColumn("open", F.lit(True)), "cls", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        asked = stored(asked, "asked")
-        words = asked.where("open").select(F.explode("prefix").alias("w")).distinct()
-        near = asked.select("cls", F.explode("prefix").alias("w")).join(words, "w", "left_semi").select("cls").distinct()
-        rest = stored(candidates(_index(asked.join(near, "cls", "left_semi"), parts), threshold, None).drop("more").distinct(), "candidates")
-        told = stored(_verify(rest, docs, threshold, text, id_col).where("alike").select("later"), "verified")
-        matched = matched.union(told).distinct()
-        drop_stored(asked)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // INDEX_ROWS)
+    index = _index(lines, counts, tile)
+    found = candidates(index.repartition(parts, "word").withColumn("open", F.lit(True)), threshold, True)
+    place = F.struct("edoc", "eline")
+    found = found.groupBy("later").agg(
+        F.min(F.struct("apart", "edoc", "eline")).alias("best"), F.min(F.struct("doc", "line")).alias("at"), (F.max("more") | (F.min(place) != F.max(place))).alias("more")
+    )
+    found = stored(found.select("later", "at.doc", "at.line", "best.edoc", "best.eline", "more"), "candidates")
+    told = stored(_verify(found, docs, threshold, text, id_col).groupBy("later").agg(F.max("alike").alias("alike"), F.max("more").alias("more")), "verified")
+    matched = told.where("alike").select("later")
+    open_ = stored(told.where("NOT alike AND more").select(F.col("later").alias("cls"), F.lit(True).alias("open")), "open")
+    n_open = open_.count()
+    if n_open:
+        # all classes under the words of the open ones
+        few = n_open <= BROADCAST_ROWS
+        marks = F.broadcast(open_) if few else open_
+        words = _word_spots(_index(lines.join(marks, "cls", "left_semi"), counts, tile))
+        near = _index(lines, counts, tile, words).join(marks, "cls", "left").withColumn("open", F.coalesce("open", F.lit(False))).repartition(parts, "word")
+        rest = stored(candidates(near, threshold, False).drop("more", "apart").distinct(), "candidates")
+        matched = matched.union(stored(_verify(rest, docs, threshold, text, id_col).where("alike").select("later"), "verified")).distinct()
     firsts = lines.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n"))
     marks = firsts.join(matched.select(F.col("later").alias("cls"), F.lit(True).alias("matched")), "cls", "left")
     marks = stored(marks.where("matched OR n > 1").select("cls", "at", F.coalesce("matched", F.lit(False)).alias("matched")), "marks")
