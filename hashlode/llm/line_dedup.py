@@ -7,7 +7,8 @@ buckets (any one order is exact; rarity makes it fast). Two sets of similarity t
 n - ceil(t n) + 1 of each (prefix filter), so classes meet under those words. Pairs that meet are dropped when sizes
 differ too much (length filter), when too few words follow (positional filter), or when signatures of the sets (counts
 by hash group) differ by more than the sets may in words; what is left is verified on the words. A class needs
-one earlier match only: first the survivor whose signature is closest is verified, then, for classes still open, all.
+one earlier match only: first the survivor whose signature is closest is verified; for classes still open, in rounds,
+always more, until none is left out.
 Words that may be in more than ``TILE`` lines are cut into tiles, whose pairs meet in different tasks. A task passes
 on a class once, under its earliest line there, so a line that is everywhere does not fill the join.
 
@@ -33,6 +34,7 @@ BITS = 18
 BUCKETS = 1 << BITS
 TILE = 1 << 15
 BROADCAST_ROWS = 200_000
+ROUND = 8
 INDEX_ROWS = 250_000
 PAIRS_AT_ONCE = 1 << 18
 LINE_BITS, DOC_BITS, WORD_BITS = 24, 22, 24
@@ -214,10 +216,10 @@ def survivors(word: np.ndarray, size: np.ndarray, pos: np.ndarray, bits: np.ndar
         lo = hi
 
 
-def candidates(index: DataFrame, threshold: tuple[int, int], best: bool) -> DataFrame:
+def candidates(index: DataFrame, threshold: tuple[int, int], most: int) -> DataFrame:
     """index(word, cls, bits, bits2, doc, line, sp, open): pairs of a later, open class with an earlier one, by (doc, line).
 
-    ``best``: of each later class the one with the closest signature under each word, and whether there were more.
+    Of each later class the ``most`` with the closest signatures under each word, and whether there were more.
     """
     id_type = index.schema["doc"].dataType.simpleString()
     schema = f"later long, doc {id_type}, line int, edoc {id_type}, eline int, apart int, more boolean"
@@ -247,15 +249,12 @@ def candidates(index: DataFrame, threshold: tuple[int, int], best: bool) -> Data
             later, earlier = np.where(swap, i, j), np.where(swap, j, i)
             ok = col["open"][later]
             kept.append(np.stack((later[ok], earlier[ok], far[ok])))
-            if best and sum(x.shape[1] for x in kept) > 2 * PAIRS_AT_ONCE:
-                kept = [_closest(np.concatenate(kept, axis=1), rank, 2)]
-        pairs = np.concatenate(kept, axis=1)
-        more = np.zeros(pairs.shape[1], bool)
-        if best:
-            pairs = _closest(pairs, rank, 2)
-            nth = _nth(pairs[0])
-            more = np.isin(pairs[0], pairs[0][nth == 1])[nth == 0]
-            pairs = pairs[:, nth == 0]
+            if sum(x.shape[1] for x in kept) > 2 * PAIRS_AT_ONCE:
+                kept = [_closest(np.concatenate(kept, axis=1), rank, most + 1)]
+        pairs = _closest(np.concatenate(kept, axis=1), rank, most + 1)
+        nth = _nth(pairs[0])
+        more = np.isin(pairs[0], pairs[0][nth == most])[nth < most]
+        pairs = pairs[:, nth < most]
         for lo in range(0, pairs.shape[1], 50_000):
             a, b, d = pairs[:, lo : lo + 50_000]
             yield pa.RecordBatch.from_arrays(
@@ -396,7 +395,7 @@ def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text:
     rows = lines.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // INDEX_ROWS)
     index = _index(lines, counts, tile)
-    found = candidates(index.repartition(parts, "word").withColumn("open", F.lit(True)), threshold, True)
+    found = candidates(index.repartition(parts, "word").withColumn("open", F.lit(True)), threshold, 1)
     place = F.struct("edoc", "eline")
     found = found.groupBy("later").agg(
         F.min(F.struct("apart", "edoc", "eline")).alias("best"), F.min(F.struct("doc", "line")).alias("at"), (F.max("more") | (F.min(place) != F.max(place))).alias("more")
@@ -405,15 +404,18 @@ def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text:
     told = stored(_verify(found, docs, threshold, text, id_col).groupBy("later").agg(F.max("alike").alias("alike"), F.max("more").alias("more")), "verified")
     matched = told.where("alike").select("later")
     open_ = stored(told.where("NOT alike AND more").select(F.col("later").alias("cls"), F.lit(True).alias("open")), "open")
-    n_open = open_.count()
-    if n_open:
-        # all classes under the words of the open ones
-        few = n_open <= BROADCAST_ROWS
-        marks = F.broadcast(open_) if few else open_
+    most = 1
+    while n_open := open_.count():
+        # all classes under the words of the open ones; ever more of them are verified, until none is left out
+        most *= ROUND
+        marks = F.broadcast(open_) if n_open <= BROADCAST_ROWS else open_
         words = _word_spots(_index(lines.join(marks, "cls", "left_semi"), counts, tile))
         near = _index(lines, counts, tile, words).join(marks, "cls", "left").withColumn("open", F.coalesce("open", F.lit(False))).repartition(parts, "word")
-        rest = stored(candidates(near, threshold, False).drop("more", "apart").distinct(), "candidates")
-        matched = matched.union(stored(_verify(rest, docs, threshold, text, id_col).where("alike").select("later"), "verified")).distinct()
+        tried = candidates(near, threshold, most).groupBy("later", "doc", "line", "edoc", "eline").agg(F.max("more").alias("more"))
+        told = _verify(stored(tried, "candidates"), docs, threshold, text, id_col).groupBy("later").agg(F.max("alike").alias("alike"), F.max("more").alias("more"))
+        told = stored(told, "verified")
+        matched = matched.union(told.where("alike").select("later"))
+        open_ = stored(told.where("NOT alike AND more").select(F.col("later").alias("cls"), F.lit(True).alias("open")), "open")
     firsts = lines.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n"))
     marks = firsts.join(matched.select(F.col("later").alias("cls"), F.lit(True).alias("matched")), "cls", "left")
     marks = stored(marks.where("matched OR n > 1").select("cls", "at", F.coalesce("matched", F.lit(False)).alias("matched")), "marks")
