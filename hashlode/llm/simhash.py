@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashlode.llm.graph import components, local_labels
+from hashlode.llm.near_copies import near_copies
 from hashlode.llm.shared import stored, table
 
 SEED = 42
@@ -220,7 +221,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of smallest id; rows of that very id and text as one."""
-    found = near_duplicates(docs)
+    """One document of each group of near copies (0.8 of five-word shingles, not op7's 4 bits) stays: the one of
+    smallest id; rows of that very id and text as one."""
+    found = near_copies(docs)
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)

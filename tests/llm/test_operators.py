@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hashlode.llm import byte_bpe, embedding_dedup, graph, importance_quality, language_id, line_dedup, mixing, progressive_jpeg, sharding, simhash, warc
+from hashlode.llm import byte_bpe, embedding_dedup, graph, importance_quality, language_id, line_dedup, mixing, near_copies, progressive_jpeg, sharding, simhash, warc
 from hashlode.llm.shared import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -132,6 +132,37 @@ def test_simhash_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 7, 8, 9]
 
 
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+
+
+def test_near_copies_against_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rng = np.random.default_rng(2)
+    for i in range(12):  # near copies with more and more words changed, to both sides of 0.8
+        base = [f"b{i}w{x}" for x in rng.integers(0, 400, 120)]
+        for k in range(6):
+            words = list(base)
+            for x in rng.choice(120, k, replace=False):
+                words[x] = f"c{i}k{k}x{x}"
+            rows.append((10_000 + i * 10 + k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: five_words(t) for d, t in rows}
+
+    def linked(a, b):
+        x, y = sets[a], sets[b]
+        return x == y or 9 * len(x & y) >= 4 * (len(x) + len(y))
+
+    want = brute_components(sorted(sets), linked)
+    for options in ({}, {"tile": 3, "word_tile": 40}):
+        assert {r.doc_id: r.component_id for r in near_copies.near_copies(df, **options).collect()} == want
+    kept = {r.doc_id for r in simhash.stage(spark, df, "").collect()}
+    assert kept == {d for d, c in want.items() if d == c}
+    far = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert any(far[d] == d != c for d, c in want.items())  # op7's radius alone leaves some of them
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
