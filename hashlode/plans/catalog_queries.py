@@ -144,6 +144,11 @@ def sanitize_query(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.sanitize(F.split("text", "\n")[0]).alias("clean"))
 
 
+@query("SELECT doc_id, translate(text, ':^~*?\\()[]{}!+-|', '                 ') AS clean FROM documents")
+def sanitize_text(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", T.sanitize(F.col("text")).alias("clean"))
+
+
 @query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS safe FROM pages""")
 def html_escape(spark, d):
     return V.table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("safe"))

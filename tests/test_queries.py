@@ -36,3 +36,10 @@ def test_matches_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["info_hash", "title", "magnet", "seeders", "score"]
+
+
+def test_whole_texts_are_sanitized(spark, con):
+    got = {r.doc_id: r.clean for r in CORE[0]["sanitize_text"](spark, SMALL).collect()}
+    text = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    assert got == {i: None if t is None else "".join(" " if c in ":^~*?\\()[]{}!+-|" else c for c in t) for i, t in text.items()}
+    assert any("\n" in t for t in got.values() if t)
