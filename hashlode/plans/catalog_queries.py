@@ -77,6 +77,13 @@ def detail_missing_defaults(spark, d):
     return R.detail(c, c.where("p_partkey < 5").select("info_hash").union(spark.createDataFrame([("absent",)], "info_hash string")))
 
 
+@query(f"""WITH {V.CATALOG}, keys AS (SELECT info_hash FROM catalog UNION ALL SELECT 'absent')
+SELECT k.info_hash, coalesce(title, 'Unknown Title') AS title, coalesce(magnet, '') AS magnet, coalesce(seeders, 0) AS seeders FROM keys k LEFT JOIN catalog c ON k.info_hash = c.info_hash""")
+def detail_all_defaults(spark, d):
+    c = V.catalog(spark, d)
+    return R.detail(c, c.select("info_hash").union(spark.createDataFrame([("absent",)], "info_hash string")))
+
+
 @query(f"WITH {V.CATALOG} SELECT info_hash, title FROM catalog WHERE trim(coalesce(info_b64, '')) = '' ORDER BY info_hash LIMIT 200")
 def worklist_missing_info(spark, d):
     return R.worklist(V.catalog(spark, d)).select("info_hash", "title")
