@@ -254,8 +254,7 @@ def search_fuzzy_fallback(spark, d):
 @query(f"""WITH {TOKENS}, v AS (SELECT DISTINCT term FROM t WHERE regexp_full_match(term, '[a-z0-9]+')), w AS (SELECT unnest(['that', 'thond', 'widget', 'wiht', 'the']) AS word)
 SELECT term, word FROM v, w WHERE CASE WHEN strlen(word) <= 3 THEN term = word ELSE damerau_levenshtein(term, word) <= 1 END""")
 def fuzzy_vocabulary_join(spark, d):
-    vocabulary = S.doc_freq(V.corpus(spark, d)).where(F.col("term").rlike("^[a-z0-9]+$"))
-    return S.fuzzy_vocabulary(vocabulary, ["that", "thond", "widget", "wiht", "the"])
+    return S.fuzzy_vocabulary(S.doc_freq(V.corpus(spark, d)), ["that", "thond", "widget", "wiht", "the"])
 
 
 DOCS = V.CORPUS + """, idx AS (
