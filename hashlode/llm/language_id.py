@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hashlode.llm.shared import table
+from hashlode.llm.shared import broadcast_if_small, drop_stored, free_names, stored, table
 from hashlode.llm.spans import blocks
 
 UNDETERMINED = "und"
@@ -34,6 +34,7 @@ _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalpha() e
 #: Ends a payload: n-grams that touch a zero byte count for nothing.
 _STOP = b"\0" * (max(ORDERS) - 1)
 _BLOCK = 1 << 19
+SALTS = 64
 
 
 @dataclass
@@ -159,10 +160,17 @@ def fit(
         F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.xxhash64(id_col).alias("h")
     )
     # a share of each language by hash comes to the window, about twice what is wanted, however large the language is
-    share = (told.groupBy("lang").agg(F.count("*").alias("c"))).select(F.col("lang").alias("l"), ((2.0 * per_language + 100) / F.col("c")).alias("share"))
+    share = told.groupBy("lang").agg(F.count("*").alias("c")).select(F.col("lang").alias("l"), ((2.0 * per_language + 100) / F.col("c")).alias("share"))
+    share = stored(share, "share")
+    small = broadcast_if_small(share)
+    if small is not share:
+        shared = told.join(small, F.col("lang") == F.col("l"))
+    else:  # more languages than fit a broadcast: salted, so that a large one meets in many tasks
+        salted = share.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        shared = told.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, (F.col("lang") == F.col("l")) & (F.col("salt") == F.col("of")))
     draw = F.shiftrightunsigned("h", 11) / float(1 << 53)
     picked = (
-        told.join(share, F.col("lang") == F.col("l")).where(draw < F.col("share"))
+        shared.where(draw < F.col("share"))
         .withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
         .orderBy("n", "h", "id").limit(most_rows).select("id").distinct()
     )
@@ -181,6 +189,7 @@ def fit(
     id_type = docs.schema[id_col].dataType.simpleString()
     # most_rows ids at most: a size proven by the limit above
     found = sample.join(F.broadcast(picked), "id").mapInArrow(run, f"id {id_type}, lang string, ids array<int>, counts array<int>").toArrow()
+    drop_stored(share)
     rows = [(r, i.values.to_numpy(), c.values.to_numpy()) for r, i, c in zip(found["lang"].to_pylist(), found["ids"], found["counts"], strict=True)]
     order = sorted(range(len(rows)), key=lambda k: (hash_key(found["id"][k].as_py()), rows[k][0], len(rows[k][1])))
     rows = [rows[k] for k in order][:most_rows]
@@ -242,6 +251,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not rejected; their columns as they were."""
+    """Documents whose language is not rejected; their columns as they were. Null texts and texts without a letter go."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs, model, added=("__lang", "__score", "__rejected")).where("NOT __rejected").select(*docs.columns)
+    lang, score, rejected = free_names(docs, "lang_pred", "score", "rejected")
+    return predict(docs, model, added=(lang, score, rejected)).where(~F.col(rejected)).select(*docs.columns)

@@ -2,15 +2,14 @@ r"""Line dedup by an exact set-similarity join.
 
 A line (of a text cut at "\n") is the set of its words ``[^\x20\x09-\x0D]+``. A line goes if an earlier line, by
 (document id, line number), has Jaccard similarity of at least ``threshold`` with it; equal sets have 1. Lines of
-equal sets are one class. Words are ordered by rarity, from counts over all documents in a fixed number of hash
-buckets (any one order is exact; rarity makes it fast). Two sets of similarity t share a word among the first
-n - ceil(t n) + 1 of each (prefix filter), so classes meet under those words. Pairs that meet are dropped when sizes
-differ too much (length filter), when too few words follow (positional filter), or when signatures of the sets (counts
-by hash group) differ by more than the sets may in words; what is left is verified on the words. A class needs
-one earlier match only: first the survivor whose signature is closest is verified; for classes still open, in rounds,
-always more, until none is left out.
-Words that may be in more than ``TILE`` lines are cut into tiles, whose pairs meet in different tasks. A task passes
-on a class once, under its earliest line there, so a line that is everywhere does not fill the join.
+equal sets are one class, at the place of its earliest line. Words are ordered by rarity, from counts over all documents
+in a fixed number of hash buckets (any one order is exact; rarity makes it fast). Classes are joined by ``set_join``:
+prefix, length and positional filters and signatures link them into candidate groups, which hold every similar pair.
+
+Then the whole word sets of those classes are fetched, and each group is verified by exact Jaccard similarity. A class
+needs one earlier match only: groups of over ``tile`` classes are cut into tiles; within its tile most later classes
+find a match, and only those still open meet the other tiles. A class is sent once more for each tile it is compared
+with, so rows grow with the classes, and with the open ones of very large groups; never with pairs.
 
 Lines without a word and rows of null id take no part and stay. Null text stays null. Rows of equal id hold their
 lines at the same place: neither is the earlier one. No documents give no rows. Sets are told apart by 64-bit hashes.
@@ -21,24 +20,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashlode.llm.shared import stored, table
+from hashlode.llm.set_join import TILE as WORD_TILE
+from hashlode.llm.set_join import BUCKETS, alike_pairs, bucket, bucket_counts, candidate_groups, class_hash, key_groups, prefix_size, rarity, signature, tiles_of
+from hashlode.llm.shared import drop_all, drop_stored, free_names, stored, table
 from hashlode.llm.spans import blocks, flat_words, mix
 
 THRESHOLD = (4, 5)  # 0.8
-BITS = 18
-BUCKETS = 1 << BITS
-TILE = 1 << 15
-BROADCAST_ROWS = 200_000
-ROUND = 8
-INDEX_ROWS = 250_000
-PAIRS_AT_ONCE = 1 << 18
-LINE_BITS, DOC_BITS, WORD_BITS = 24, 22, 24
+TILE = 1 << 10
+MOST_SPOT_BITS = 27
 PIECE_BYTES = 1 << 20
+LINES_AT_ONCE = 1 << 18
 _LINES = "doc {id}, line int, cls long, size int, bits long, bits2 long, prefix array<long>"
 
 
@@ -49,24 +46,11 @@ def _payloads(column: pa.Array) -> list[bytes]:
 def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Occurrences of words by hash bucket, over all documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, held in blocks(_payloads(batch.column(0))):
-                h, _, _ = flat_words(b" ".join(held) + b" ")
-                counts += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
-
-    found = docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return counts
-
+    def counted(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, held in blocks(_payloads(batch.column(0))):
+            yield bucket(flat_words(b" ".join(held) + b" ")[0])
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """The order of buckets in 10 bits: rarer ones first, by the logarithm of their count."""
-    return np.minimum(np.log2(counts + 1.0) * 25, 1023).astype(np.uint64)
+    return bucket_counts(docs.select(text), counted)[0]
 
 
 def pieces(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -87,24 +71,6 @@ def pieces(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return out, np.array(owner, np.int64), np.array(number, np.int64)
 
 
-def signature(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Thirty-two counts modulo 16, in two words: how many words of each set fall in each of 32 hash groups."""
-    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-    counts = np.bincount(row * 32 + (h & np.uint64(31)).astype(np.int64), minlength=len(first) * 32).reshape(-1, 32).astype(np.uint64) & np.uint64(15)
-    place = np.uint64(4) * np.arange(16, dtype=np.uint64)
-    return (counts[:, :16] << place).sum(axis=1, dtype=np.uint64), (counts[:, 16:] << place).sum(axis=1, dtype=np.uint64)
-
-
-def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """At least so many words are in one set only: the sum of the circular distances of the counts."""
-    low, one, total = np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x0101010101010101), 0
-    for shift in (np.uint64(0), np.uint64(4)):
-        d = (((a >> shift) & low) + np.uint64(0x1010101010101010) - ((b >> shift) & low)) & low
-        over = (d >> np.uint64(3)) & one
-        total = total + ((((d ^ (over * np.uint64(15))) + over) * one) >> np.uint64(56)).astype(np.int64)
-    return total
-
-
 class Sets:
     """Word sets of the lines of a block of pieces, flat and in order of rarity within a line."""
 
@@ -113,7 +79,7 @@ class Sets:
         h, starts, _ = flat_words(data)
         breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
         line = np.searchsorted(breaks, starts)
-        r = rare[(h >> np.uint64(64 - BITS)).astype(np.int64)]
+        r = rare[bucket(h)]
         # 22 bits of line, 10 of rarity, 32 of hash; ties of the last 32 are mended by the whole hash
         key = (line.astype(np.uint64) << np.uint64(42)) | (r << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         order = np.argsort(key, kind="stable")
@@ -147,33 +113,38 @@ def _dense(values: pa.Array) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, counts: np.ndarray, threshold: tuple[int, int] = THRESHOLD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per line with words: doc, line, cls (hash of the set), size, bits, and, once per class and task, under
+    """One row per line with words: doc, line, cls (hash of the set), size, bits, and, once per class and block of lines, under
     its earliest line there, the prefix words."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(counts))  # BUCKETS numbers: bounded
-    num, den = threshold
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
-        docs_, lines, classes, sizes, low, high, words = [], [], [], [], [], [], []
+        held: list[list] = [[] for _ in range(7)]
+        docs_, lines, classes, sizes, low, high, words = held
         for batch in batches:
             for s in _sets(batch.column(1), rare):
-                classes.append(mix(np.add.reduceat(mix(s.h ^ np.uint64(0x5BD1E995)), s.first) + s.size.astype(np.uint64)))
+                classes.append(class_hash(s.h, s.first, s.size))
                 for kept, found in zip((low, high), signature(s.h, s.first), strict=True):
                     kept.append(found)
-                prefix = s.size - -(-s.size * num // den) + 1
                 place = np.arange(len(s.h)) - np.repeat(s.first, s.size)
-                words.append(s.h[place < np.repeat(prefix, s.size)])
+                words.append(s.h[place < np.repeat(prefix_size(s.size, threshold), s.size)])
                 docs_.append(batch.column(0).take(pa.array(s.owner)))
                 lines.append(s.number)
                 sizes.append(s.size)
-        if not docs_:
-            return
+            if sum(map(len, lines)) >= LINES_AT_ONCE:
+                yield from rows(*held)
+                for x in held:
+                    x.clear()
+        if docs_:
+            yield from rows(*held)
+
+    def rows(docs_: list, lines: list, classes: list, sizes: list, low: list, high: list, words: list) -> Iterator[pa.RecordBatch]:
         doc, line, cls, size, bits, bits2, flat = pa.concat_arrays(docs_), *map(np.concatenate, (lines, classes, sizes, low, high, words))
         order = np.lexsort((line, _dense(doc), cls))
         lead = np.zeros(len(cls), bool)
         lead[order] = np.concatenate(([True], cls[order][1:] != cls[order][:-1]))
-        ends = np.cumsum(size - -(-size * num // den) + 1)
+        ends = np.cumsum(prefix_size(size, threshold))
         for lo in range(0, len(cls), 20_000):
             hi = min(lo + 20_000, len(cls))
             begin = int(ends[lo - 1]) if lo else 0
@@ -187,253 +158,135 @@ def line_sets(docs: DataFrame, counts: np.ndarray, threshold: tuple[int, int] =
     return docs.where(F.col(id_col).isNotNull()).select(id_col, text).mapInArrow(run, _LINES.format(id=id_type))
 
 
-def survivors(word: np.ndarray, size: np.ndarray, pos: np.ndarray, bits: np.ndarray, bits2: np.ndarray, threshold: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, least words apart) under one word, i < j, that pass the filters. Rows are sorted by (word, size)."""
-    num, den = threshold
-    n = len(word)
-    group = np.cumsum(np.concatenate(([0], (word[1:] != word[:-1]).astype(np.int64)))) if n else np.zeros(0, np.int64)
-    wide = int(size.max(initial=0)) + 2
-    key = group * wide + size
-    end = np.searchsorted(key, group * wide + np.minimum(size * den // num, wide - 1), side="right")  # length filter
-    counts = end - np.arange(n) - 1
-    ends = np.cumsum(counts)
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
-        c = counts[lo:hi]
-        i = np.repeat(np.arange(lo, hi), c)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-        total = size[i] + size[j]
-        need = -(-num * total // (num + den))
-        ok = np.flatnonzero(np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need)  # positional filter
-        i, j, most = i[ok], j[ok], (total - 2 * need)[ok]
-        far = apart(bits[i], bits[j])
-        ok = np.flatnonzero(far <= most)
-        i, j, most = i[ok], j[ok], most[ok]
-        far = far[ok] + apart(bits2[i], bits2[j])
-        ok = far <= most
-        yield i[ok], j[ok], far[ok]
-        lo = hi
-
-
-def candidates(index: DataFrame, threshold: tuple[int, int], most: int) -> DataFrame:
-    """index(word, cls, bits, bits2, doc, line, sp, open): pairs of a later, open class with an earlier one, by (doc, line).
-
-    Of each later class the ``most`` with the closest signatures under each word, and whether there were more.
-    """
-    id_type = index.schema["doc"].dataType.simpleString()
-    schema = f"later long, doc {id_type}, line int, edoc {id_type}, eline int, apart int, more boolean"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        doc = t["doc"].combine_chunks()
-        doc = pa.concat_arrays(doc.chunks) if isinstance(doc, pa.ChunkedArray) else doc
-        col = {c: t[c].to_numpy() for c in ("word", "cls", "bits", "bits2", "line", "sp", "open")}
-        rank = np.empty(t.num_rows, np.int64)
-        by_place = np.lexsort((col["line"], _dense(doc)))
-        rank[by_place] = np.arange(t.num_rows)
-        # a class that several tasks passed on: its earliest line
-        order = np.lexsort((rank, col["cls"], col["word"]))
-        w, c = col["word"][order], col["cls"][order]
-        order = order[np.concatenate(([True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])))]
-        order = order[np.lexsort((col["sp"][order] >> 32, col["word"][order]))]
-        col = {k: v[order] for k, v in col.items()}
-        rank = rank[order]
-        bits, bits2 = col["bits"].view(np.uint64), col["bits2"].view(np.uint64)
-        kept = [np.zeros((3, 0), np.int64)]
-        for i, j, far in survivors(col["word"], col["sp"] >> 32, col["sp"] & 0xFFFFFFFF, bits, bits2, threshold):
-            swap = rank[i] > rank[j]
-            later, earlier = np.where(swap, i, j), np.where(swap, j, i)
-            ok = col["open"][later]
-            kept.append(np.stack((later[ok], earlier[ok], far[ok])))
-            if sum(x.shape[1] for x in kept) > 2 * PAIRS_AT_ONCE:
-                kept = [_closest(np.concatenate(kept, axis=1), rank, most + 1)]
-        pairs = _closest(np.concatenate(kept, axis=1), rank, most + 1)
-        nth = _nth(pairs[0])
-        more = np.isin(pairs[0], pairs[0][nth == most])[nth < most]
-        pairs = pairs[:, nth < most]
-        for lo in range(0, pairs.shape[1], 50_000):
-            a, b, d = pairs[:, lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(col["cls"][a]), doc.take(pa.array(order[a])), pa.array(col["line"][a]), doc.take(pa.array(order[b])), pa.array(col["line"][b]),
-                    pa.array(d.astype(np.int32)), pa.array(more[lo : lo + 50_000]),
-                ],
-                names=["later", "doc", "line", "edoc", "eline", "apart", "more"],
-            )
-
-    return index.mapInArrow(run, schema)
-
-
-def _nth(sorted_: np.ndarray) -> np.ndarray:
-    """0, 1, 2... within runs of equal values."""
-    start = np.flatnonzero(np.diff(sorted_, prepend=-1))
-    return np.arange(len(sorted_)) - np.repeat(start, np.diff(np.append(start, len(sorted_))))
+def _bits_of(rows: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2^bits bits over the hashes in column h."""
+    spot = F.shiftrightunsigned("h", 64 - bits)
+    word = rows.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - bits}) & 63 AS INT))")).alias("m")).toArrow()
+    out = np.zeros((1 << bits) // 64, np.uint64)
+    out[word["w"].to_numpy()] = word["m"].to_numpy().view(np.uint64)
+    return out
 
 
-def _closest(pairs: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
-    """Of each later row the ``most`` partners of the closest signatures, the earliest first."""
-    pairs = pairs[:, np.lexsort((rank[pairs[1]], pairs[2], pairs[0]))]
-    return pairs[:, _nth(pairs[0]) < most]
+def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h.view(np.uint64) >> np.uint64(64 - (len(bitmap) * 64 - 1).bit_length())
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _word_spots(rows: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over column word."""
-    spot = F.shiftrightunsigned("word", 64 - WORD_BITS)
-    found = rows.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(word, {64 - WORD_BITS}) & 63 AS INT))")).alias("m")).toArrow()
-    words = np.zeros((1 << WORD_BITS) // 64, np.uint64)
-    words[found["w"].to_numpy()] = found["m"].to_numpy().view(np.uint64)
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _index(lines: DataFrame, counts: np.ndarray, tile: int, only: np.ndarray | None = None) -> DataFrame:
-    """A row for each prefix word of each class; words of several tiles are keyed by pairs of tiles. ``only``: the
-    words to keep, as a bitmap (and some that share its bits)."""
-    shared = lines.sparkSession.sparkContext.broadcast((counts, only))  # fixed sizes
-    id_type = lines.schema["doc"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, only = shared.value
-        for batch in batches:
-            prefix = batch.column(4)
-            n = np.diff(prefix.offsets.to_numpy())
-            word = prefix.flatten().to_numpy().view(np.uint64)
-            row = np.repeat(np.arange(batch.num_rows), n)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            tiles = np.maximum(-(-counts[(word >> np.uint64(64 - BITS)).astype(np.int64)] // tile), 1)
-            cls = batch.column(0).to_numpy()
-            many = np.flatnonzero(tiles > 1)
-            if len(many):
-                k = tiles[many]
-                mine = np.repeat((mix(cls[row[many]].view(np.uint64)) % k.astype(np.uint64)).astype(np.int64), k)
-                other = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-                at = np.repeat(many, k)
-                t = np.minimum(mine, other) * np.repeat(k, k) + np.maximum(mine, other) + 1
-                keyed = mix(word[at] + t.astype(np.uint64))
-                one = tiles == 1
-                word, row, pos = np.concatenate((word[one], keyed)), np.concatenate((row[one], row[at])), np.concatenate((pos[one], pos[at]))
-            if only is not None:
-                asked = only[(word >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
-                word, row, pos = word[asked], row[asked], pos[asked]
-            size = batch.column(1).to_numpy().astype(np.int64)
-            for lo in range(0, len(row), 50_000):
-                r = pa.array(row[lo : lo + 50_000])
-                sp = size[row[lo : lo + 50_000]] << 32 | pos[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(word[lo : lo + 50_000].view(np.int64)), batch.column(0).take(r), batch.column(2).take(r), batch.column(6).take(r), batch.column(3).take(r), batch.column(5).take(r), pa.array(sp)],
-                    names=["word", "cls", "bits", "bits2", "doc", "line", "sp"],
-                )
-
-    rows = lines.where("prefix IS NOT NULL").select("cls", "size", "bits", "doc", "prefix", "line", "bits2")
-    return rows.mapInArrow(run, f"word long, cls long, bits long, bits2 long, doc {id_type}, line int, sp long")
-
-
-def _spots(needed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of fixed size over documents and lines, for a filter before the exact join."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, line = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.uint64)
-            at = np.concatenate((_doc_spot(doc), (1 << DOC_BITS) + _line_spot(doc, line)))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["w", "m"])
-
-    found = needed.select(F.xxhash64("doc"), "line").mapInArrow(run, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    words = np.zeros(((1 << DOC_BITS) + (1 << LINE_BITS)) // 64, np.uint64)
-    words[found["w"].to_numpy()] = found["m"].to_numpy().view(np.uint64)
-    bits = np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-    return bits[: 1 << DOC_BITS], bits[1 << DOC_BITS :]
-
-
-def _doc_spot(doc: np.ndarray) -> np.ndarray:
-    return (mix(doc) >> np.uint64(64 - DOC_BITS)).astype(np.int64)
-
-
-def _line_spot(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return (mix(mix(doc) + line) >> np.uint64(64 - LINE_BITS)).astype(np.int64)
-
-
-def fetch_words(docs: DataFrame, needed: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(doc, line, words): word hashes of the needed (doc, line), and of some others that the bitmaps let through."""
-    shared = docs.sparkSession.sparkContext.broadcast(_spots(needed))  # fixed size
+def fetch_words(docs: DataFrame, needed: DataFrame, n: int, text: str, id_col: str) -> DataFrame:
+    """(doc, line, cls, words): word hashes of the ``n`` needed (doc, cls), and of what else the bitmaps let through."""
+    bits = min(MOST_SPOT_BITS, max(16, (8 * n).bit_length()))  # at most 16 MB each
+    shared = docs.sparkSession.sparkContext.broadcast((_bits_of(needed.select(F.xxhash64("doc").alias("h")), bits), _bits_of(needed.select(F.xxhash64("doc", "cls").alias("h")), bits)))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_docs, in_lines = shared.value
         rare = np.zeros(BUCKETS, np.uint64)
         for batch in batches:
-            part = batch.take(pa.array(np.flatnonzero(in_docs[_doc_spot(batch.column(1).to_numpy().view(np.uint64))])))
-            hashes = part.column(1).to_numpy().view(np.uint64)
+            part = batch.take(pa.array(np.flatnonzero(_has(shared.value[0], batch.column(1).to_numpy()))))
             for s in _sets(part.column(2), rare):
-                wanted = in_lines[_line_spot(hashes[s.owner], s.number.astype(np.uint64))]
-                if wanted.any():
-                    words = s.h[np.repeat(wanted, s.size)]
-                    offsets = pa.array(np.append(0, np.cumsum(s.size[wanted])).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(s.owner[wanted])), pa.array(s.number[wanted].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))],
-                        names=["doc", "line", "words"],
-                    )
+                offsets = np.append(s.first, len(s.h)).astype(np.int32)
+                cls = class_hash(s.h, s.first, s.size).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(s.owner)), pa.array(s.number.astype(np.int32)), pa.array(cls), pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.h.view(np.int64)))],
+                    names=["doc", "line", "cls", "words"],
+                )
 
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, F.xxhash64(id_col), text).mapInArrow(run, f"doc {id_type}, line int, words array<long>")
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_has(shared.value[1], batch.column(4).to_numpy())))
 
+    found = docs.where(F.col(id_col).isNotNull()).select(id_col, F.xxhash64(id_col), text).mapInArrow(run, f"doc {id_type}, line int, cls long, words array<long>")
+    found = found.withColumn("h", F.xxhash64("doc", "cls"))
+    return found.mapInArrow(wanted, found.schema).drop("h")
 
-def _verify(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], text: str, id_col: str) -> DataFrame:
-    """Stored pairs with column alike: whether the word sets reach the threshold."""
-    num, den = threshold
-    earlier = fetch_words(docs, pairs.select(F.col("edoc").alias("doc"), F.col("eline").alias("line")).distinct(), text, id_col).toDF("edoc", "eline", "wb")
-    later = fetch_words(docs, pairs.select("doc", "line").distinct(), text, id_col).toDF("doc", "line", "wa")
-    both = pairs.join(earlier, ["edoc", "eline"]).join(later, ["doc", "line"])
-    return both.withColumn("alike", F.size(F.array_intersect("wa", "wb")) * (num + den) >= num * (F.size("wa") + F.size("wb"))).drop("wa", "wb")
 
+def matched_classes(sets: DataFrame, threshold: tuple[int, int], parts: int) -> DataFrame:
+    """sets(component, tile, part, doc, line, cls, early, late, words): cls of the late ones that an early one of the
+    same key at an earlier place is similar to."""
 
-def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: str = "text", id_col: str = "doc_id", tile: int = TILE) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in key_groups(batches, 3):
+            doc, line = rows.column(3), rows.column(4).to_numpy()
+            new = np.ones(rows.num_rows, np.int64)
+            new[1:] = pc.not_equal(doc[1:], doc[:-1]).to_numpy(zero_copy_only=False) | (line[1:] != line[:-1])
+            place, words = np.cumsum(new), rows.column(8)
+            early, late = (rows.column(c).to_numpy(zero_copy_only=False) for c in (6, 7))
+            hit = np.zeros(rows.num_rows, bool)
+            for i, j in alike_pairs(number, np.diff(words.offsets.to_numpy()).astype(np.int64), words.flatten().to_numpy(), threshold):
+                hit[j[early[i] & late[j] & (place[i] < place[j]) & (number[i] == number[j])]] = True
+            yield pa.RecordBatch.from_arrays([rows.column(5).filter(pa.array(hit))], names=["cls"])
+
+    keys = ["component", "tile", "part"]
+    dealt = sets.select(*keys, "doc", "line", "cls", "early", "late", "words").repartition(parts, *keys)
+    return dealt.sortWithinPartitions(*keys, "doc", "line").mapInArrow(run, "cls long")
+
+
+def later_classes(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int], text: str, id_col: str, tile: int, word_tile: int) -> DataFrame:
+    """Stored (cls): classes with a similar class at an earlier place. classes(cls, doc, line, size, bits, bits2, prefix)."""
+    groups = candidate_groups(classes, threshold, word_tile)
+    wanted = stored(tiles_of(groups.join(classes.select("cls", "doc", "line", "size"), "cls"), tile), "wanted")
+    drop_stored(groups)
+    n = wanted.count()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
+    sets = fetch_words(docs, wanted, n, text, id_col).join(wanted.drop("size"), ["doc", "line", "cls"])
+    mine = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
+    sets = stored(sets.dropDuplicates(["cls"]).withColumn("tile", mine), "sets")
+    yes, no = F.lit(True), F.lit(False)
+    found = stored(matched_classes(sets.withColumns({"part": F.lit(0), "early": yes, "late": yes}), threshold, parts), "matched")
+    if sets.where("tiles > 1").limit(1).count():
+        large = sets.where("tiles > 1")
+        open_ = stored(large.join(found, "cls", "left_anti"), "open")
+        cuts = open_.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("cuts"))
+        asked = open_.join(cuts, "component").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("cuts")).cast("int"))
+        asked = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other != tile").drop("tile").withColumnRenamed("other", "tile")
+        told = large.join(cuts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        both = told.drop("cuts").withColumns({"early": yes, "late": no}).unionByName(asked.drop("cuts").withColumns({"early": no, "late": yes}))
+        rest = stored(found.union(matched_classes(both, threshold, parts)).distinct(), "matched")
+        drop_all(found, open_)
+        found = rest
+    drop_all(wanted, sets)
+    return found
+
+
+def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, text: str = "text", id_col: str = "doc_id", tile: int = TILE, word_tile: int = WORD_TILE) -> DataFrame:
     """(doc, line) of every line that has an earlier match."""
-    counts = word_counts(docs, text)
-    lines = stored(line_sets(docs, counts, threshold, text, id_col), "lines")
-    rows = lines.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // INDEX_ROWS)
-    index = _index(lines, counts, tile)
-    found = candidates(index.repartition(parts, "word").withColumn("open", F.lit(True)), threshold, 1)
-    place = F.struct("edoc", "eline")
-    found = found.groupBy("later").agg(
-        F.min(F.struct("apart", "edoc", "eline")).alias("best"), F.min(F.struct("doc", "line")).alias("at"), (F.max("more") | (F.min(place) != F.max(place))).alias("more")
-    )
-    found = stored(found.select("later", "at.doc", "at.line", "best.edoc", "best.eline", "more"), "candidates")
-    told = stored(_verify(found, docs, threshold, text, id_col).groupBy("later").agg(F.max("alike").alias("alike"), F.max("more").alias("more")), "verified")
-    matched = told.where("alike").select("later")
-    open_ = stored(told.where("NOT alike AND more").select(F.col("later").alias("cls"), F.lit(True).alias("open")), "open")
-    most = 1
-    while n_open := open_.count():
-        # all classes under the words of the open ones; ever more of them are verified, until none is left out
-        most *= ROUND
-        marks = F.broadcast(open_) if n_open <= BROADCAST_ROWS else open_
-        words = _word_spots(_index(lines.join(marks, "cls", "left_semi"), counts, tile))
-        near = _index(lines, counts, tile, words).join(marks, "cls", "left").withColumn("open", F.coalesce("open", F.lit(False))).repartition(parts, "word")
-        tried = candidates(near, threshold, most).groupBy("later", "doc", "line", "edoc", "eline").agg(F.max("more").alias("more"))
-        told = _verify(stored(tried, "candidates"), docs, threshold, text, id_col).groupBy("later").agg(F.max("alike").alias("alike"), F.max("more").alias("more"))
-        told = stored(told, "verified")
-        matched = matched.union(told.where("alike").select("later"))
-        open_ = stored(told.where("NOT alike AND more").select(F.col("later").alias("cls"), F.lit(True).alias("open")), "open")
-    firsts = lines.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n"))
-    marks = firsts.join(matched.select(F.col("later").alias("cls"), F.lit(True).alias("matched")), "cls", "left")
-    marks = stored(marks.where("matched OR n > 1").select("cls", "at", F.coalesce("matched", F.lit(False)).alias("matched")), "marks")
-    gone = lines.select("doc", "line", "cls").join(marks, "cls").where(F.col("matched") | (F.struct("doc", "line") != F.col("at")))
-    return gone.select("doc", "line")
+    lines = stored(line_sets(docs, word_counts(docs, text), threshold, text, id_col), "lines")
+    leads = lines.where("prefix IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("at"), *(F.first(c).alias(c) for c in ("size", "bits", "bits2", "prefix")))
+    classes = stored(leads.select("cls", "at.doc", "at.line", "size", "bits", "bits2", "prefix"), "classes")
+    slim = stored(lines.select("doc", "line", "cls"), "lines")
+    drop_stored(lines)
+    matched = later_classes(docs, classes, threshold, text, id_col, tile, word_tile)
+    firsts = classes.select("cls", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
+    marks = firsts.join(slim.groupBy("cls").agg(F.count("*").alias("n")), "cls").join(matched.withColumn("matched", F.lit(True)), "cls", "left")
+    marks = stored(marks.where("matched OR n > 1").withColumn("matched", F.coalesce("matched", F.lit(False))).drop("n"), "marks")
+    drop_all(classes, matched)
+    gone = slim.join(marks, "cls").where("matched OR doc != first_doc OR line != first_line")
+    out = stored(gone.select("doc", "line").distinct(), "gone")
+    drop_all(slim, marks)
+    return out
 
 
 def removed_lines(docs: DataFrame, **options) -> DataFrame:
     """(doc, removed): ascending numbers of the lines that go, for documents that lose any."""
-    return later_matches(docs, **options).distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    return later_matches(docs, **options).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+
+
+def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
+    def left(t: str | None, gone: np.ndarray | None) -> str | None:
+        if t is None or gone is None:
+            return t
+        keep = np.ones(t.count("\n") + 1, bool)
+        keep[gone[gone < len(keep)]] = False
+        return "\n".join(x for x, k in zip(t.split("\n"), keep, strict=True) if k)
+
+    return pd.Series([left(t, r) for t, r in zip(text, removed, strict=True)], dtype=object)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with the lines removed from the text; all rows and other columns stay."""
-    gone = removed_lines(docs, text=text, id_col=id_col, **options).toDF("__doc", "__removed")
-    joined = docs.join(gone, F.col(id_col) == F.col("__doc"), "left")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
-    return joined.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    doc, removed = free_names(docs, "doc", "removed")
+    gone = removed_lines(docs, text=text, id_col=id_col, **options).toDF(doc, removed)
+    joined = docs.join(gone, F.col(id_col) == F.col(doc), "left")
+    return joined.withColumn(text, F.pandas_udf(_without, "string")(F.col(text), F.col(removed))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,11 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hashlode.llm.shared import drop_stored, stored, table, word_count
+from hashlode.llm.shared import broadcast_if_small, drop_all, drop_stored, free_names, stored, table, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
-BROADCAST_ROWS = 200_000
 BUCKET_ROWS = 1 << 16
 STEPS = 60
 TOLERANCE = 1e-10
@@ -38,11 +37,6 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source.cast("string")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it was counted to be small; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def source_targets(sources: DataFrame) -> DataFrame:
     """sources(key, source_size): adds weight and target. One row per source meets in one task."""
     w = Window.orderBy(F.substring("key", 1, 1) == "-", "key")
@@ -63,13 +57,12 @@ def _solve(cells: DataFrame, sources: DataFrame) -> DataFrame:
     state = stored(
         sources.withColumns({"tilt": F.lit(0.0), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "off": F.lit(1.0)}), "tilt"
     )
-    few = state.count() <= BROADCAST_ROWS
     for _ in range(STEPS):
         x = F.col("size") / F.col("mean_size")
         power = F.col("tilt") * x
         rate = F.exp(F.least(power, F.lit(math.log(MOST))))
         mass = F.col("n") * F.col("size")
-        joined = cells.join(F.broadcast(state) if few else state, "key")
+        joined = cells.join(broadcast_if_small(state), "key")
         sums = joined.groupBy("key").agg(
             F.sum(mass * rate).alias("got"), F.sum(F.when(power < math.log(MOST), mass * x * rate).otherwise(0.0)).alias("slope")
         )
@@ -117,18 +110,18 @@ def plan(slim: DataFrame) -> DataFrame:
     rate = F.when(F.col("size") == 0, 1.0).when(full, float(MOST)).otherwise(F.least(F.exp(power), F.lit(float(MOST))))
     by_size = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
     end = F.floor(F.sum(F.round(F.col("n") * F.col("rate"), 9)).over(by_size) + 0.5)
-    rated = cells.join(_small(solved), "key").withColumn("rate", rate)
+    rated = cells.join(broadcast_if_small(solved), "key").withColumn("rate", rate)
     rounded = rated.withColumn("end", end).withColumn("start", F.coalesce(F.lag("end").over(Window.partitionBy("key").orderBy(F.desc("size"))), F.lit(0)))
     cut = F.least(F.greatest(F.col("end") - F.col("start"), F.lit(0)), MOST * F.col("n")).cast("long")
     rounded = stored(rounded.withColumn("copies", F.when(F.col("size") == 0, F.col("n")).otherwise(cut)).drop("end", "start", "low", "high", "off"), "copies")
     for _ in range(2):
         gap = rounded.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-        tried = rounded.where("size > 0").join(_small(gap), "key")
+        tried = rounded.where("size > 0").join(broadcast_if_small(gap), "key")
         move = F.least(F.greatest(F.round(F.col("gap") / F.col("size")), -F.col("copies")), MOST * F.col("n") - F.col("copies")).cast("long")
         best = tried.withColumn("move", move).groupBy("key").agg(
             F.min(F.struct(F.abs(F.col("gap") - F.col("move") * F.col("size")).alias("left"), F.col("size").alias("at"), F.col("move"))).alias("best")
         )
-        after = rounded.join(_small(best), "key", "left")
+        after = rounded.join(broadcast_if_small(best), "key", "left")
         moved = F.when(F.col("size") == F.col("best.at"), F.col("copies") + F.col("best.move")).otherwise(F.col("copies"))
         after = stored(after.withColumn("copies", moved).drop("best"), "copies")
         drop_stored(rounded)
@@ -136,7 +129,7 @@ def plan(slim: DataFrame) -> DataFrame:
     drop_stored(solved)
     cells2 = rounded.withColumns({"base": F.expr("copies div n"), "extra": F.expr("copies % n"), "buckets": F.ceil(F.col("n") / BUCKET_ROWS)})
     bucket = F.pmod(F.col("h"), F.col("buckets"))
-    some = slim.join(_small(cells2.where("extra > 0").select("key", "size", "extra", "buckets")), ["key", "size"]).withColumn("b", bucket)
+    some = slim.join(broadcast_if_small(cells2.where("extra > 0").select("key", "size", "extra", "buckets")), ["key", "size"]).withColumn("b", bucket)
     sizes = some.groupBy("key", "size", "b", "extra").agg(F.count("*").alias("m"))
     ahead = Window.partitionBy("key", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("take", F.col("extra") - F.coalesce(F.sum("m").over(ahead), F.lit(0))).where("take > 0")
@@ -147,41 +140,51 @@ def plan(slim: DataFrame) -> DataFrame:
         .groupBy("key", "size", "b").agg(F.max("h").alias("cut"))
         .groupBy("key", "size").agg(F.map_from_entries(F.collect_list(F.struct("b", "cut"))).alias("cuts"))
     )
-    return stored(
+    out = stored(
         cells2.join(cuts, ["key", "size"], "left").select("key", "size", "n", "source_size", "target", "rate", "base", "buckets", "cuts"), "mix"
     )
+    drop_all(cells, rounded)
+    return out
+
+
+_OWN = ("key", "size", "h", "source_size", "target", "rate", "base", "buckets", "cuts", "copies", "copy")
+
+
+def _names(docs: DataFrame) -> dict[str, str]:
+    """Names for the columns added here that no column of ``docs`` has."""
+    return dict(zip(_OWN, free_names(docs, *_OWN), strict=True))
 
 
 def _keyed(docs: DataFrame, source: str, text: str, id_col: str) -> DataFrame:
-    size, key = word_count(F.col(text)), source_key(F.col(source))
-    return docs.withColumns({"__key": key, "__size": size}).withColumn("__h", F.xxhash64(F.col(id_col).cast("string"), "__key", "__size"))
+    as_ = _names(docs)
+    out = docs.withColumns({as_["key"]: source_key(F.col(source)), as_["size"]: word_count(F.col(text))})
+    return out.withColumn(as_["h"], F.xxhash64(F.col(id_col).cast("string"), as_["key"], as_["size"]))
 
 
-def _apply(keyed: DataFrame, mix: DataFrame) -> DataFrame:
-    cells = mix.select(*(F.col(c).alias("__" + c) for c in ("key", "size", "source_size", "target", "rate", "base", "buckets", "cuts")))
-    out = keyed.join(_small(cells), ["__key", "__size"])
-    cut = F.try_element_at(F.col("__cuts"), F.pmod(F.col("__h"), F.col("__buckets")))
-    return out.withColumn("__copies", F.col("__base") + F.coalesce((F.col("__h") <= cut).cast("long"), F.lit(0)))
+def _apply(keyed: DataFrame, mix: DataFrame, as_: dict[str, str]) -> DataFrame:
+    cells = mix.select(*(F.col(c).alias(as_[c]) for c in ("key", "size", "source_size", "target", "rate", "base", "buckets", "cuts")))
+    out = keyed.join(broadcast_if_small(cells), [as_["key"], as_["size"]])
+    cut = F.try_element_at(F.col(as_["cuts"]), F.pmod(F.col(as_["h"]), F.col(as_["buckets"])))
+    return out.withColumn(as_["copies"], F.col(as_["base"]) + F.coalesce((F.col(as_["h"]) <= cut).cast("long"), F.lit(0)))
 
 
 def mix_rates(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per document: id, size, source_size, target, taken (words, repeats counted), copies and rate."""
-    keyed = _keyed(docs.select(source, text, id_col), source, text, id_col).select(id_col, "__key", "__size", "__h")
-    slim = stored(keyed, "sizes")
-    mix = plan(slim.select(F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__h").alias("h")))
-    out = _apply(slim, mix)
-    return out.select(
-        id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        (F.col("__copies") * F.col("__size")).alias("taken"), F.col("__copies").alias("copies"), F.col("__rate").alias("rate"),
-    )
+    rows = docs.select(F.col(source).alias("s"), F.col(text).alias("t"), F.col(id_col).alias("i"))
+    as_ = _names(rows)
+    slim = stored(_keyed(rows, "s", "t", "i").select("i", "key", "size", "h"), "sizes")
+    out = _apply(slim, plan(slim.select("key", "size", "h")), as_)
+    return out.select(F.col("i").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def mix_documents(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The mix itself: every row as often as its copies say, with the columns it had."""
+    as_ = _names(docs)
     keyed = _keyed(docs, source, text, id_col)
-    slim = stored(keyed.select(F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__h").alias("h")), "sizes")
-    out = _apply(keyed, plan(slim)).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), F.col("__copies").cast("int")))).select(*docs.columns)
+    slim = stored(keyed.select(*(F.col(as_[c]).alias(c) for c in ("key", "size", "h"))), "sizes")
+    out = _apply(keyed, plan(slim), as_).where(F.col(as_["copies"]) > 0)
+    drop_stored(slim)
+    return out.withColumn(as_["copy"], F.explode(F.array_repeat(F.lit(True), F.col(as_["copies"]).cast("int")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

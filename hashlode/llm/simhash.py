@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashlode.llm.graph import components, local_labels
-from hashlode.llm.near_copies import near_copies
-from hashlode.llm.shared import stored, table
+from hashlode.llm.near_copies import BROADCAST_ROWS, near_copies, text_mark
+from hashlode.llm.shared import drop_all, free_names, stored, table
 
 SEED = 42
 RADIUS = 4
@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 4, text:
     all_ = stored(fingerprints(docs, words, text, id_col), "fingerprints")
     distinct = stored(all_.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     grouped = stored(fingerprint_components(distinct.select("fp"), radius, tile).toDF("fp", "component"), "components")
-    named = distinct.join(grouped, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = stored(distinct.join(grouped, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    drop_all(distinct, grouped)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "component").select("fp", "component_id")
     return all_.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
@@ -220,9 +221,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each_group(docs: DataFrame, found: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Of each component of found(id, mark, component) the row of smallest id (null last, then by mark) stays."""
+    id_, mark = free_names(docs, "id", "mark")
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("mark").alias("mark"))
+    best = found.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
+    told = found.join(best, "component").select(F.col(id_col).alias(id_), F.col("mark").alias(mark), (place == F.col("best")).alias("is_best"))
+    told = stored(told.groupBy(id_, mark).agg(F.max("is_best").alias("is_best"), F.count("*").alias("n")).where("NOT is_best OR n > 1").drop("n"), "told")
+    few = told.count() <= BROADCAST_ROWS  # else the texts are shuffled by id
+
+    def rows(which: DataFrame, how: str) -> DataFrame:
+        same = F.col(id_col).eqNullSafe(F.col(id_)) & (text_mark(text) == F.col(mark))
+        which = which.select(id_, mark)
+        return docs.join(F.broadcast(which) if few else which, same, how)
+
+    again = rows(told.where("is_best"), "left_semi")  # rows of one id and one text: as one
+    once = again.withColumn(mark, text_mark(text)).dropDuplicates([id_col, mark])
+    return rows(told, "left_anti").unionByName(once.select(*docs.columns))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 of five-word shingles, not op7's 4 bits) stays: the one of
-    smallest id; rows of that very id and text as one."""
-    found = near_copies(docs)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    smallest id. Decided row by row: rows of equal ids and different texts are different documents."""
+    return one_of_each_group(docs, near_copies(docs))

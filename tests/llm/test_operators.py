@@ -17,7 +17,7 @@ ODD = [
     (1, None, None, None, None), (2, "", "en", "", 0), (3, "one two three four five six seven", "en", "a", 1), (4, "one two three four five six seven", "en", "a", 1),
     (4, "one two three four five six seven", "en", "a", 1), (None, "one two three four five six eight", "fr", "b", 1), (7, LONG, "en", "b", 1), (8, "...\n\n!!", "fr", None, 1), (9, "été ÀÉ\nété ÀÉ", "fr", "b", 1),
 ]
-CLASHES = ["id", "h", "key", "size", "line", "doc", "fp", "shard", "rejected", "score", "removed", "component", "copies"]
+CLASHES = ["id", "h", "key", "size", "line", "doc", "fp", "shard", "rejected", "score", "removed", "component", "copies", "__doc", "__gone", "__key", "__size", "__h", "__lang", "lang_pred", "mark", "target", "copy"]
 
 
 @pytest.fixture(scope="module")
@@ -86,8 +86,8 @@ def test_lines_against_brute_force(spark, docs):
     rows += [(10_000 + i, "\n".join(" ".join(rng.choice(words, rng.integers(1, 14))) for _ in range(12))) for i in range(25)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_lines(rows)
-    for tile in (line_dedup.TILE, 20):
-        assert {(r.doc, r.line) for r in line_dedup.later_matches(df, tile=tile).collect()} == want
+    for options in ({}, {"tile": 4, "word_tile": 20}):
+        assert {(r.doc, r.line) for r in line_dedup.later_matches(df, **options).collect()} == want
 
 
 def test_lines_odd_rows(odd, none):

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from hashlode.llm import byte_bpe, embedding_dedup, graph, line_dedup, progressive_jpeg, sharding, simhash, spans
+from hashlode.llm import byte_bpe, embedding_dedup, graph, line_dedup, progressive_jpeg, set_join, sharding, simhash, spans
 
 
 def test_word_hashes_see_words_only():
@@ -73,8 +73,8 @@ def test_signature_is_a_lower_bound():
         a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
         b = np.unique(np.concatenate((a[: size // 2], rng.integers(0, 1 << 63, size // 2 + 1, dtype=np.uint64))))
         first = np.zeros(1, int)
-        pairs = zip(line_dedup.signature(a, first), line_dedup.signature(b, first), strict=True)
-        assert sum(line_dedup.apart(x, y)[0] for x, y in pairs) <= len(set(a.tolist()) ^ set(b.tolist()))
+        pairs = zip(set_join.signature(a, first), set_join.signature(b, first), strict=True)
+        assert sum(set_join.apart(x, y)[0] for x, y in pairs) <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_pieces_of_long_texts(monkeypatch):
