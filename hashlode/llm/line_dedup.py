@@ -35,7 +35,7 @@ THRESHOLD = (4, 5)  # 0.8
 TILE = 1 << 10
 MOST_SPOT_BITS = 27
 PIECE_BYTES = 1 << 20
-LINES_AT_ONCE = 1 << 18
+LINES_AT_ONCE = 1 << 16
 _LINES = "doc {id}, line int, cls long, size int, bits long, bits2 long, prefix array<long>"
 
 

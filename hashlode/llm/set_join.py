@@ -26,14 +26,14 @@ from hashlode.llm.spans import mix
 BITS = 18
 BUCKETS = 1 << BITS
 TILE = 1 << 15
-INDEX_ROWS = 500_000
-PACK_ROWS = 1 << 20
+INDEX_ROWS = 250_000
+PACK_ROWS = 1 << 18
 PAIRS_AT_ONCE = 1 << 18
 COLUMNS_AT_ONCE = 1 << 12
 CHUNK = 1 << 12
 SMALL_GROUP = 48
 TILE_WORDS = 1 << 21
-PRODUCTS_AT_ONCE = 1 << 21
+PRODUCTS_AT_ONCE = 1 << 19
 _ENTRY = (("word", "<u8"), ("cls", "<i8"), ("bits", "<u8"), ("bits2", "<u8"), ("size", "<i4"), ("pos", "<i4"))
 _ENTRY_BYTES = sum(np.dtype(t).itemsize for _, t in _ENTRY)
 
