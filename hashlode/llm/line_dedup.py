@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -175,28 +174,28 @@ def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 def fetch_words(docs: DataFrame, needed: DataFrame, n: int, text: str, id_col: str) -> DataFrame:
     """(doc, line, cls, words): word hashes of the ``n`` needed (doc, cls), and of what else the bitmaps let through."""
     bits = min(MOST_SPOT_BITS, max(16, (8 * n).bit_length()))  # at most 16 MB each
-    shared = docs.sparkSession.sparkContext.broadcast((_bits_of(needed.select(F.xxhash64("doc").alias("h")), bits), _bits_of(needed.select(F.xxhash64("doc", "cls").alias("h")), bits)))
+    h = F.xxhash64("doc")
+    shared = docs.sparkSession.sparkContext.broadcast((_bits_of(needed.select(h.alias("h")), bits), _bits_of(needed.select(h.bitwiseXOR(F.col("cls")).alias("h")), bits)))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = np.zeros(BUCKETS, np.uint64)
         for batch in batches:
             part = batch.take(pa.array(np.flatnonzero(_has(shared.value[0], batch.column(1).to_numpy()))))
+            h = part.column(1).to_numpy()
             for s in _sets(part.column(2), rare):
-                offsets = np.append(s.first, len(s.h)).astype(np.int32)
                 cls = class_hash(s.h, s.first, s.size).view(np.int64)
+                wanted = _has(shared.value[1], h[s.owner] ^ cls)
+                offsets = np.append(0, np.cumsum(s.size[wanted])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(s.owner)), pa.array(s.number.astype(np.int32)), pa.array(cls), pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.h.view(np.int64)))],
+                    [
+                        part.column(0).take(pa.array(s.owner[wanted])), pa.array(s.number[wanted].astype(np.int32)), pa.array(cls[wanted]),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.h[np.repeat(wanted, s.size)].view(np.int64))),
+                    ],
                     names=["doc", "line", "cls", "words"],
                 )
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_has(shared.value[1], batch.column(4).to_numpy())))
-
-    found = docs.where(F.col(id_col).isNotNull()).select(id_col, F.xxhash64(id_col), text).mapInArrow(run, f"doc {id_type}, line int, cls long, words array<long>")
-    found = found.withColumn("h", F.xxhash64("doc", "cls"))
-    return found.mapInArrow(wanted, found.schema).drop("h")
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, F.xxhash64(id_col), text).mapInArrow(run, f"doc {id_type}, line int, cls long, words array<long>")
 
 
 def matched_classes(sets: DataFrame, threshold: tuple[int, int], parts: int) -> DataFrame:
@@ -270,15 +269,16 @@ def removed_lines(docs: DataFrame, **options) -> DataFrame:
     return later_matches(docs, **options).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
-def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
-    def left(t: str | None, gone: np.ndarray | None) -> str | None:
-        if t is None or gone is None:
+def _without(text: pa.Array, removed: pa.Array) -> pa.Array:
+    def left(t: str | None, gone: pa.ListScalar) -> str | None:
+        if t is None or not gone.is_valid:
             return t
         keep = np.ones(t.count("\n") + 1, bool)
-        keep[gone[gone < len(keep)]] = False
+        at = gone.values.to_numpy()
+        keep[at[at < len(keep)]] = False
         return "\n".join(x for x, k in zip(t.split("\n"), keep, strict=True) if k)
 
-    return pd.Series([left(t, r) for t, r in zip(text, removed, strict=True)], dtype=object)
+    return pa.array([left(t.as_py(), r) for t, r in zip(text, removed, strict=True)], pa.string())
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
@@ -286,7 +286,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **o
     doc, removed = free_names(docs, "doc", "removed")
     gone = removed_lines(docs, text=text, id_col=id_col, **options).toDF(doc, removed)
     joined = docs.join(gone, F.col(id_col) == F.col(doc), "left")
-    return joined.withColumn(text, F.pandas_udf(_without, "string")(F.col(text), F.col(removed))).select(*docs.columns)
+    return joined.withColumn(text, F.arrow_udf(_without, "string")(F.col(text), F.col(removed))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

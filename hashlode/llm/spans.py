@@ -8,7 +8,7 @@ import numpy as np
 
 #: Bytes that part words: fixed values, [\x20\x09-\x0D].
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
@@ -18,7 +18,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """r^i and r^-i modulo 2^64 for i < n."""
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(18, int(n).bit_length())
     if size not in _POWERS:
         r = 0x5851F42D4C957F2D
         inv = pow(r, -1, 1 << 64)
