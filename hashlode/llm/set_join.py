@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashlode.llm.graph import components, local_labels
-from hashlode.llm.shared import drop_stored, stored
+from hashlode.llm.shared import broadcast_if_small, drop_stored, stored
 from hashlode.llm.spans import mix
 
 BITS = 18
@@ -247,7 +247,7 @@ def candidate_groups(classes: DataFrame, threshold: tuple[int, int], tile: int =
 
     counts = bucket_counts(classes.select("prefix"), words)[0]
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // INDEX_ROWS)
-    index = packed_index(classes, counts, tile, 64 * parts).repartition(parts, "pack")
+    index = packed_index(classes, counts, tile, parts).repartitionById(parts, F.col("pack").cast("int"))
     links = stored(candidate_links(index, threshold).distinct(), "links")
     found = stored(components(links).toDF("cls", "component"), "candidates")
     drop_stored(links)
@@ -341,4 +341,5 @@ def _key_numbers(rows: pa.RecordBatch, keys: int) -> np.ndarray:
 def tiles_of(groups: DataFrame, tile: int) -> DataFrame:
     """groups(component, size, ...) with tiles: into how many its component is cut, by classes and by words."""
     cuts = F.ceil(F.greatest(F.count("*") / tile, F.sum("size") / TILE_WORDS)).cast("int")
-    return groups.join(groups.groupBy("component").agg(cuts.alias("tiles")), "component")
+    large = groups.groupBy("component").agg(cuts.alias("tiles")).where("tiles > 1")
+    return groups.join(broadcast_if_small(large), "component", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
