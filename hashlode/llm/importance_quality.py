@@ -2,14 +2,15 @@
 
 Word 1- and 2-grams of every whole document are hashed into a fixed number of buckets. The raw model counts all
 documents; the target model counts the texts of labelled good documents (a bounded sample of at most
-``target_rows`` ids, the ones of least hash). A document's log importance weight is the sum over its n-grams of
-log p_target - log p_raw; adding Gumbel noise seeded by its id and keeping the k largest keys samples k documents
-without replacement in proportion to their weights. k is the share of good rows among the labels times the number
-of documents, or is given.
-
-Null and empty texts have no n-grams and weight 0. Rows with equal id and text have equal keys; those that tie at
-the k-th key are all kept. Null ids draw the noise of the text "null". Without labels nothing can be told from raw
-text: every weight is 0.
+``target_rows`` ids, the ones of least hash). A document's log importance weight is the mean over its n-grams of
+log p_target - log p_raw, at the evidence of ``EVIDENCE`` n-grams: the method compares examples of one length, and a
+plain sum would choose by length. Adding Gumbel noise seeded by the id and keeping the k largest keys samples k
+documents without replacement in proportion to their weights. k is the share of good rows among the labels times the
+number of documents, or is given.
+
+Null and empty texts have no n-grams, null weight and key, and are kept only where k asks for all rows. Rows with equal
+id and text have equal keys; those that tie at the k-th key are all kept. Null ids draw the noise of the text "null".
+Without labels nothing can be told from raw text: every weight is 0.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hashlode.llm.set_join import bucket_counts
 from hashlode.llm.shared import stored, table
 from hashlode.llm.spans import blocks, mix, word_hashes
 
 BITS = 18
 BUCKETS = 1 << BITS
+EVIDENCE = 100
 
 
 def _ngrams(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,21 +52,14 @@ def ngram_counts(docs: DataFrame, good: DataFrame | None, text: str = "text", id
     else:
         rows = rows.join(F.broadcast(good.select(F.col(id_col).alias("id"), F.lit(True).alias("good"))), "id", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            good_rows = np.array([bool(x) for x in batch.column(1).to_pylist()], bool)
-            for first, held in blocks(_payloads(batch.column(0))):
-                bucket, owner = _ngrams(held)
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                target += np.bincount(bucket[good_rows[first + owner]], minlength=BUCKETS)
-        ids = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(raw[ids]), pa.array(target[ids])], names=["bucket", "raw", "target"])
-
-    found = rows.select("text", "good").mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    at = found["bucket"].to_numpy()
-    raw[at], target[at] = found["raw"].to_numpy(), found["target"].to_numpy()
+    def counted(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        good_rows = np.array([bool(x) for x in batch.column(1).to_pylist()], bool)
+        for first, held in blocks(_payloads(batch.column(0))):
+            bucket, owner = _ngrams(held)
+            yield bucket
+            yield bucket[good_rows[first + owner]] + BUCKETS
+
+    raw, target = bucket_counts(rows.select("text", "good"), counted, BUCKETS, 2)
     return raw, target
 
 
@@ -78,7 +74,7 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def weights(docs: DataFrame, ratio: np.ndarray, text: str = "text", id_col: str = "doc_id", seed: int = 11) -> DataFrame:
-    """(id, n_grams, log_weight, key): log_weight sums whole texts; key adds the id's Gumbel noise."""
+    """(id, n_grams, log_weight, key): log_weight reads whole texts; key adds the id's Gumbel noise."""
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS floats: bounded
 
@@ -90,7 +86,8 @@ def weights(docs: DataFrame, ratio: np.ndarray, text: str = "text", id_col: str
                 bucket, owner = _ngrams(held)
                 total[first : first + len(held)] = np.bincount(owner, weights=table_[bucket], minlength=len(held))
                 n[first : first + len(held)] = np.bincount(owner, minlength=len(held))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(total, 6))], names=["id", "n_grams", "log_weight"])
+            weight = pa.array(np.round(total / np.maximum(n, 1) * EVIDENCE, 6), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), weight], names=["id", "n_grams", "log_weight"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {id_type}, n_grams long, log_weight double")
     h = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(seed))
@@ -99,8 +96,9 @@ def weights(docs: DataFrame, ratio: np.ndarray, text: str = "text", id_col: str
 
 
 def _sortable(key: Column) -> Column:
-    """Longs that order as the keys do: keys to 1/2^20, offset to be positive."""
-    return (F.greatest(F.least(key, F.lit(2.0**40)), F.lit(-(2.0**40))) * 1048576).cast("long") + (1 << 60)
+    """Longs that order as the keys do: keys to 1/2^20, offset to be positive; null comes last."""
+    bounded = (F.greatest(F.least(key, F.lit(2.0**39)), F.lit(-(2.0**39))) * 1048576).cast("long") + (1 << 60)
+    return F.when(key.isNull(), F.lit(0)).otherwise(bounded)  # greatest and least skip nulls
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> int:

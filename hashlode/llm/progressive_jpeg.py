@@ -11,7 +11,8 @@ signed value of magnitude 2 to 129 given by the byte's place in a fixed order, i
 quantisation; the payload comes back bit by bit from the coefficients.
 
 Null text is stored as an empty payload. Data that is null, or no baseline-DCT-precision progressive JPEG of 1 or 3
-components, decodes to nulls with the reason. Equal payloads give equal files.
+components, or is cut off, or whose tables or scans contradict themselves, decodes to nulls with the reason, and
+spoils no other row. Equal payloads give equal files.
 """
 
 from __future__ import annotations
@@ -284,6 +285,8 @@ def parse(data: bytes) -> Image:
         code = data[at + 1] if at + 3 < len(data) else 0xD9
         if code == 0xD9:
             break
+        if data[at] != 0xFF:
+            raise ValueError("no marker where one is due")
         end = at + 2 + int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : end]
         if code == 0xDB:
@@ -327,9 +330,37 @@ def parse(data: bytes) -> Image:
         at = end
     if not image.components or not image.width or not image.height:
         raise ValueError("no progressive frame")
+    if data[at : at + 2] != b"\xff\xd9":
+        raise ValueError("cut off")
+    _check(image, len(data))
     return image
 
 
+def _check(image: Image, size: int) -> None:
+    """Raises ValueError for whatever the decoding steps take for granted and the file does not hold."""
+    h, v = max(c.h for c in image.components), max(c.v for c in image.components)
+    if any(not 1 <= c.h <= 4 or not 1 <= c.v <= 4 or h % c.h or v % c.v for c in image.components):
+        raise ValueError("sampling factors not handled")
+    if any(len(image.quant.get(c.quant, ())) != 64 for c in image.components):
+        raise ValueError("no quantisation table")
+    if image.blocks > 8 * size:  # a block takes a bit at least
+        raise ValueError("more blocks than data")
+    if not image.scans:
+        raise ValueError("no scan")
+    for scan in image.scans:
+        first, last, before, after = scan.band
+        one = len(scan.components) == 1
+        if not 0 <= first <= last <= 63 or (first == 0) != (last == 0) or (first and not one) or after > 13 or before not in (0, after + 1) or not scan.components or len(set(scan.components)) < len(scan.components):
+            raise ValueError("scan not handled")
+        for table_ in scan.ac if first else [] if before else scan.dc:
+            counts = table_[:16]
+            if len(counts) < 16 or not sum(counts) or sum(counts) != len(table_) - 16 or sum(n << (15 - i) for i, n in enumerate(counts)) > 1 << 16 or (not first and max(table_[16:]) > 15):
+                raise ValueError("broken Huffman table")
+        blocks, _, per = _scan_blocks(image, scan)
+        if len(scan.segments) < -(-len(blocks) // per):
+            raise ValueError("restart intervals missing")
+
+
 def lookup(table_: bytes) -> np.ndarray:
     """length * 256 + symbol for every 16 bits ahead; length 0: no code."""
     out, code, symbols = np.zeros(1 << 16, np.int32), 0, iter(table_[16:])
@@ -572,7 +603,12 @@ def to_rgb(image: Image, coef: np.ndarray) -> np.ndarray:
 
 def payload_of(image: Image, coef: np.ndarray) -> tuple[bytes, int]:
     """(payload, bytes of it that were stated) of a stored payload."""
-    length, stated = map(int, re.fullmatch(rb"payload (\d+) of (\d+)", image.comment).groups())
+    found = re.fullmatch(rb"payload (\d{1,18}) of (\d{1,18})", image.comment)
+    if not found:
+        raise ValueError("no stored payload")
+    length, stated = map(int, found.groups())
+    if length > coef.size or stated > length or np.abs(coef).max(initial=0) > 129:
+        raise ValueError("broken payload")
     return _BYTE_OF[coef + 130].tobytes()[:length], stated
 
 
@@ -617,30 +653,49 @@ def decode_media(rows: DataFrame, media: str = "media", id_col: str = "doc_id")
             for i, ok in _decoded(batch.column(1)):
                 out = []
                 for j, x in zip(i, ok, strict=True):
-                    if isinstance(x, str):
-                        out.append((None, None, None, x))
-                    else:
-                        rgb = to_rgb(*x)
-                        out.append((rgb.shape[0], rgb.shape[1], rgb.tobytes(), None))
+                    try:
+                        rgb = None if isinstance(x, str) else to_rgb(*x)
+                    except _BROKEN as e:
+                        rgb, x = None, _reason(e)
+                    out.append((None, None, None, x) if rgb is None else (rgb.shape[0], rgb.shape[1], rgb.tobytes(), None))
                 h, w, data, error = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(data, pa.binary()), pa.array(error, pa.string())], names=names)
 
     return rows.select(id_col, media).mapInArrow(run, f"id {id_type}, height int, width int, rgb binary, error string").withColumnRenamed("id", id_col)
 
 
+_BROKEN = (ValueError, IndexError, KeyError, StopIteration, OverflowError, ZeroDivisionError, AttributeError, TypeError, MemoryError)
+
+
+def _reason(e: BaseException) -> str:
+    return str(e) or type(e).__name__
+
+
 def _decoded(column: pa.Array) -> Iterator[tuple[list[int], list[tuple[Image, np.ndarray] | str]]]:
-    """(rows, image with coefficients or reason) in blocks of bounded size."""
+    """(rows, image with coefficients or reason) in blocks of bounded size. A broken file spoils no other one."""
     sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in column]
     for lo, hi in _groups(sizes, BLOCK_BYTES):
         images: list[Image | str] = []
         for x in column.slice(lo, hi - lo).to_pylist():
             try:
                 images.append("null" if x is None else parse(x))
-            except (ValueError, IndexError, KeyError) as e:
-                images.append(str(e) or "cut off")
+            except _BROKEN as e:
+                images.append(_reason(e))
         good = [x for x in images if isinstance(x, Image)]
-        found = iter(zip(good, coefficients(good), strict=True)) if good else iter(())
-        yield list(range(lo, hi)), [next(found) if isinstance(x, Image) else x for x in images]
+        try:
+            coef: list[np.ndarray | str] = coefficients(good) if good else []
+        except _BROKEN:
+            coef = [_alone(x) for x in good]
+        found = iter(zip(good, coef, strict=True))
+        told = [next(found) if isinstance(x, Image) else x for x in images]
+        yield list(range(lo, hi)), [x if isinstance(x, str) else x[1] if isinstance(x[1], str) else x for x in told]
+
+
+def _alone(image: Image) -> np.ndarray | str:
+    try:
+        return coefficients([image])[0]
+    except _BROKEN as e:
+        return _reason(e)
 
 
 def feature(channels: list[np.ndarray]) -> str:
@@ -654,9 +709,9 @@ def feature(channels: list[np.ndarray]) -> str:
 
 
 def media_features(rows: DataFrame, media: str = "media", id_col: str = "doc_id") -> DataFrame:
-    """What op5 returns, from stored payloads."""
+    """What op5 returns, from stored payloads; of media that hold none, nulls and the reason."""
     id_type = rows.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64() if x.endswith("long") else pa.string() for x in schema.split(", ")]
 
@@ -665,11 +720,15 @@ def media_features(rows: DataFrame, media: str = "media", id_col: str = "doc_id"
             for i, found in _decoded(batch.column(1)):
                 out = []
                 for j, x in zip(i, found, strict=True):
-                    if isinstance(x, str):
-                        raise ValueError(f"stored media can't be read: {x}")
                     data = batch.column(1)[j].as_py()
-                    payload, stated = payload_of(*x)
-                    out.append((stated, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(to_channels(*x))))
+                    of_media = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                    try:
+                        if isinstance(x, str):
+                            raise ValueError(x)
+                        payload, stated = payload_of(*x)
+                        out.append((stated, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *of_media, feature(to_channels(*x)), None))
+                    except _BROKEN as e:
+                        out.append((None, None, None, None, *of_media, None, _reason(e)))
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), *(pa.array(c, t) for c, t in zip(columns, types[1:], strict=True))], names=names)
 

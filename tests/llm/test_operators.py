@@ -191,6 +191,19 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_codes_miss_no_link(spark):
+    rng = np.random.default_rng(4)
+    for dim in (8, 64, 100):
+        base = rng.normal(size=(600, dim))
+        unit = embedding_dedup._unit(np.concatenate((base, base + rng.normal(size=base.shape) * rng.uniform(0.05, 0.5, (600, 1)))))
+        codes, f, planes, low, step = embedding_dedup.encode(unit)
+        est, true = embedding_dedup.estimates(codes, f, planes, low, step, dim), unit @ unit.T
+        other = ~np.eye(len(unit), dtype=bool)
+        assert abs((est - true)[other].mean()) < 0.005  # without bias
+        asked = est >= 0.93 - embedding_dedup.margins(f, step, dim, 0.93, embedding_dedup.EPSILON)
+        assert asked[true >= 0.93].all() and (dim == 8 or asked.mean() < 0.02)
+
+
 def test_warc(spark):
     magic = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
     rows = [(1, "u", None), (2, None, ""), (3, "a\r\nWARC/1.1\r\nb", "x" * 1500), (4, "u", "x" * 1500), (5, "u", "é" * 400 + "\r\n\r\n" + magic + "z" * 5000), (6, "u", "WARC/1.1\r\n" * 30), (8, "u", "x" * 1500), (None, "u", "x" * 1500), (9, "u", "y" * 999), (10, "u", "y" * 999)]
@@ -225,6 +238,38 @@ def test_media_rows(spark, odd, none):
     assert progressive_jpeg.media_features(progressive_jpeg.store_texts(none)).count() == 0
 
 
+def test_broken_media_spoil_no_other_row():
+    rng = np.random.default_rng(5)
+    texts = [("hello wörld %d " % i * int(rng.integers(1, 60))).encode() for i in range(8)]
+    media = progressive_jpeg.store_payloads([progressive_jpeg.padded(t) for t in texts], [len(t) for t in texts])
+    said = Counter()
+    for k in range(500):
+        m = bytearray(media[int(rng.integers(8))])
+        if k % 3 == 1:
+            m = m[: int(rng.integers(len(m)))]
+        for _ in range(3 * (k % 3 != 1)):
+            m[int(rng.integers(len(m) if k % 3 else min(len(m), 300)))] = int(rng.integers(256))
+        ((_, found),) = progressive_jpeg._decoded(progressive_jpeg.pa.array([media[0], bytes(m), media[1]], "binary"))
+        for x, t in ((found[0], texts[0]), (found[2], texts[1])):
+            payload, n = progressive_jpeg.payload_of(*x)
+            assert payload[:n] == t
+        assert k % 3 != 1 or isinstance(found[1], str)  # a file that is cut off says so
+        said[isinstance(found[1], str)] += 1
+        if not isinstance(found[1], str):
+            progressive_jpeg.to_rgb(*found[1])
+    assert said[True] > 200
+
+
+def test_broken_media_rows(spark):
+    good = progressive_jpeg.store_payloads([progressive_jpeg.padded(b"abc")], [3])[0]
+    rows = [(1, good), (2, good[: len(good) // 2]), (3, None), (4, b""), (5, good.replace(b"payload", b"PAYLOAD")), (6, good)]
+    df = spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)
+    out = {r.doc_id: r for r in progressive_jpeg.media_features(df).collect()}
+    assert out[1].n_bytes == out[6].n_bytes == 3 and out[1].error is None and all(out[i].error and out[i].n_bytes is None for i in (2, 3, 4, 5))
+    tensors = {r.doc_id: r for r in progressive_jpeg.decode_media(df).collect()}
+    assert tensors[1].rgb == tensors[6].rgb == tensors[5].rgb and all(tensors[i].rgb is None and tensors[i].error for i in (2, 3, 4))
+
+
 def test_shards(odd, none, docs):
     for options in ({}, {"block_groups": 20, "fan_in": 2}):
         rows = sharding.shard_documents(docs, **options).collect()
@@ -280,14 +325,42 @@ def test_mixing(odd, none, docs):
     assert mixing.mix_rates(none).count() == 0
 
 
+def plain_weights(docs, good):
+    """Counts of hashed 1- and 2-grams and mean log ratios, one text at a time."""
+    grams = {d: importance_quality._ngrams([(t or "").encode()])[0].tolist() for d, t in docs}
+    raw, target = Counter(x for g in grams.values() for x in g), Counter(x for d, g in grams.items() if d in good for x in g)
+    n_raw, n_target, size = sum(raw.values()), sum(target.values()), importance_quality.BUCKETS
+    prior = max(1.0, n_target / 1000)
+
+    def ratio(x):
+        p = (raw[x] + 0.1) / (n_raw + 0.1 * size)
+        return np.log((target[x] + prior * p) / (n_target + prior) / p)
+
+    return {d: 100 * sum(map(ratio, g)) / len(g) if g else None for d, g in grams.items()}
+
+
 def test_quality(odd, none, docs, spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    rows = importance_quality.select(docs, labels).join(labels, "doc_id", "left").collect()
-    assert len(rows) == docs.count()
-    good, bad = [[r.log_weight for r in rows if r.quality == q] for q in (1, 0)]
-    assert np.mean([g > b for g in good for b in bad]) > 0.8
+    rows = importance_quality.select(docs, labels).collect()
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    want = plain_weights([(r.doc_id, r.text) for r in docs.collect()], good)
+    assert all((r.log_weight is None and want[r.doc_id] is None) or abs(r.log_weight - want[r.doc_id]) < 1e-3 for r in rows) and len(rows) == len(want)
     k = 30
     top = importance_quality.select(docs, labels, k=k).collect()
     assert sum(r.kept for r in top) == k and min(r.key for r in top if r.kept) >= max(r.key for r in top if not r.kept)
+    out = {r.doc_id: r for r in importance_quality.select(odd, labels, k=5).collect()}
+    assert not out[1].kept and not out[2].kept and out[1].log_weight is None and out[1].n_grams == 0  # texts without words come last
     assert len(importance_quality.select(odd, labels).collect()) == len(ODD) and importance_quality.select(none, labels).count() == 0
-    assert all(r.log_weight == 0 and r.kept for r in importance_quality.select(odd, labels.limit(0)).collect())
+    assert all(r.log_weight in (0, None) and r.kept for r in importance_quality.select(odd, labels.limit(0)).collect())
+
+
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    rows = importance_quality.select(docs, labels.where(~held)).join(labels.where(held), "doc_id", "left").collect()
+    good, bad = ([r.log_weight for r in rows if r.quality == q and r.log_weight is not None] for q in (1, 0))
+    assert len(bad) > 5 and np.mean([g > b for g in good for b in bad]) > 0.9
+    bands = defaultdict(list)
+    for r in rows:
+        bands[max(r.n_grams, 1).bit_length()].append(r.kept)
+    assert all(0.5 < np.mean(x) < 1 for x in bands.values() if len(x) >= 50)  # no length is kept whole or left out
