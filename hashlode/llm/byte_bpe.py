@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from hashlode.llm.shared import table
+from hashlode.llm.spans import tidy
 
-KEPT_MATCHES = 800_000
+KEPT_MATCHES = 250_000
 LONGEST_KEPT = 64
 
 
@@ -166,7 +167,7 @@ def encode_texts(
                     [part.column(0), *(pa.array(rows[f.name], f.type) for f in fields)], names=[id_col, *(f.name for f in fields)]
                 )
 
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    return docs.select(id_col, text).mapInArrow(tidy(run), schema)
 
 
 def decode_ids(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", id_col: str = "doc_id") -> DataFrame:
@@ -180,7 +181,7 @@ def decode_ids(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
             text = [None if x is None else x.decode("utf-8", errors="replace") for x in data]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array(text, pa.string())], names=[id_col, "bytes", "text"])
 
-    return rows.select(id_col, ids).mapInArrow(run, schema)
+    return rows.select(id_col, ids).mapInArrow(tidy(run), schema)
 
 
 def vocabulary() -> tuple[str, str]:

@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 
 from hashlode.llm.graph import components, local_labels
 from hashlode.llm.shared import broadcast_if_small, drop_all, drop_stored, stored, table
+from hashlode.llm.spans import tidy
 
 THRESHOLD = 0.93
 TILE = 2048
@@ -178,7 +179,7 @@ def link_classes(classes: DataFrame, threshold: float = THRESHOLD, tile: int = T
                     names=["c", "n", "g", "cell", "angle", "code", "planes", "f", "low", "step"],
                 )
 
-    coded = stored(grouped.mapInArrow(code, "c string, n long, g string, cell int, angle double, code binary, planes binary, f double, low double, step double"), "codes")
+    coded = stored(grouped.mapInArrow(tidy(code), "c string, n long, g string, cell int, angle double, code binary, planes binary, f double, low double, step double"), "codes")
     sizes = coded.groupBy("g", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("cuts")).where("cuts > 1")
     cut = coded.join(broadcast_if_small(sizes), ["g", "cell"], "left").withColumn("cut", F.pmod(F.xxhash64("c"), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts")
     tiles = stored(cut.groupBy("g", "cell", "cut").agg(F.max("angle").alias("radius")), "tiles")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from hashlode.llm.set_join import bucket_counts
 from hashlode.llm.shared import stored, table
-from hashlode.llm.spans import blocks, mix, word_hashes
+from hashlode.llm.spans import blocks, mix, tidy, word_hashes
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -89,7 +89,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, text: str = "text", id_col: str
             weight = pa.array(np.round(total / np.maximum(n, 1) * EVIDENCE, 6), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), weight], names=["id", "n_grams", "log_weight"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {id_type}, n_grams long, log_weight double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(run), f"id {id_type}, n_grams long, log_weight double")
     h = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(seed))
     uniform = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
     return rows.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))).withColumnRenamed("id", id_col)

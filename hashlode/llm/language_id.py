@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hashlode.llm.shared import broadcast_if_small, drop_stored, free_names, stored, table
-from hashlode.llm.spans import blocks
+from hashlode.llm.spans import blocks, tidy
 
 UNDETERMINED = "und"
 BITS = 14
@@ -188,7 +188,7 @@ def fit(
 
     id_type = docs.schema[id_col].dataType.simpleString()
     # most_rows ids at most: a size proven by the limit above
-    found = sample.join(F.broadcast(picked), "id").mapInArrow(run, f"id {id_type}, lang string, ids array<int>, counts array<int>").toArrow()
+    found = sample.join(F.broadcast(picked), "id").mapInArrow(tidy(run), f"id {id_type}, lang string, ids array<int>, counts array<int>").toArrow()
     drop_stored(share)
     rows = [(r, i.values.to_numpy(), c.values.to_numpy()) for r, i, c in zip(found["lang"].to_pylist(), found["ids"], found["counts"], strict=True)]
     order = sorted(range(len(rows)), key=lambda k: (hash_key(found["id"][k].as_py()), rows[k][0], len(rows[k][1])))
@@ -235,7 +235,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", added: tuple[str,
                     [*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected, pa.bool_())], names=[*names, *added]
                 )
 
-    return kept.mapInArrow(run, f"{fields}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` boolean")
+    return kept.mapInArrow(tidy(run), f"{fields}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` boolean")
 
 
 def held_out(doc_id: Column) -> Column:

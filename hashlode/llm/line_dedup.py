@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from hashlode.llm.set_join import TILE as WORD_TILE
 from hashlode.llm.set_join import BUCKETS, alike_pairs, bucket, bucket_counts, candidate_groups, class_hash, key_groups, prefix_size, rarity, signature, tiles_of
 from hashlode.llm.shared import drop_all, drop_stored, free_names, stored, table
-from hashlode.llm.spans import blocks, flat_words, mix
+from hashlode.llm.spans import blocks, flat_words, mix, tidy
 
 THRESHOLD = (4, 5)  # 0.8
 TILE = 1 << 10
@@ -154,7 +154,7 @@ def line_sets(docs: DataFrame, counts: np.ndarray, threshold: tuple[int, int] =
                 names=["doc", "line", "cls", "size", "bits", "bits2", "prefix"],
             )
 
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text).mapInArrow(run, _LINES.format(id=id_type))
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, text).mapInArrow(tidy(run), _LINES.format(id=id_type))
 
 
 def _bits_of(rows: DataFrame, bits: int) -> np.ndarray:
@@ -195,7 +195,7 @@ def fetch_words(docs: DataFrame, needed: DataFrame, n: int, text: str, id_col: s
                     names=["doc", "line", "cls", "words"],
                 )
 
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, F.xxhash64(id_col), text).mapInArrow(run, f"doc {id_type}, line int, cls long, words array<long>")
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, F.xxhash64(id_col), text).mapInArrow(tidy(run), f"doc {id_type}, line int, cls long, words array<long>")
 
 
 def matched_classes(sets: DataFrame, threshold: tuple[int, int], parts: int) -> DataFrame:
@@ -216,7 +216,7 @@ def matched_classes(sets: DataFrame, threshold: tuple[int, int], parts: int) ->
 
     keys = ["component", "tile", "part"]
     dealt = sets.select(*keys, "doc", "line", "cls", "early", "late", "words").repartition(parts, *keys)
-    return dealt.sortWithinPartitions(*keys, "doc", "line").mapInArrow(run, "cls long")
+    return dealt.sortWithinPartitions(*keys, "doc", "line").mapInArrow(tidy(run), "cls long")
 
 
 def later_classes(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int], text: str, id_col: str, tile: int, word_tile: int) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashlode.llm.shared import stored, table
+from hashlode.llm.spans import tidy
 
 UNIT = 576
 RESTART = 8
@@ -640,7 +641,7 @@ def store_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
                 media = store_payloads([padded(x) for x in part], [len(x) for x in part])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(media, pa.binary())], names=["id", "media"])
 
-    return docs.select(F.col(id_col), F.col(text)).mapInArrow(run, f"id {id_type}, media binary").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), F.col(text)).mapInArrow(tidy(run), f"id {id_type}, media binary").withColumnRenamed("id", id_col)
 
 
 def decode_media(rows: DataFrame, media: str = "media", id_col: str = "doc_id") -> DataFrame:
@@ -661,7 +662,7 @@ def decode_media(rows: DataFrame, media: str = "media", id_col: str = "doc_id")
                 h, w, data, error = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(data, pa.binary()), pa.array(error, pa.string())], names=names)
 
-    return rows.select(id_col, media).mapInArrow(run, f"id {id_type}, height int, width int, rgb binary, error string").withColumnRenamed("id", id_col)
+    return rows.select(id_col, media).mapInArrow(tidy(run), f"id {id_type}, height int, width int, rgb binary, error string").withColumnRenamed("id", id_col)
 
 
 _BROKEN = (ValueError, IndexError, KeyError, StopIteration, OverflowError, ZeroDivisionError, AttributeError, TypeError, MemoryError)
@@ -732,7 +733,7 @@ def media_features(rows: DataFrame, media: str = "media", id_col: str = "doc_id"
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), *(pa.array(c, t) for c, t in zip(columns, types[1:], strict=True))], names=names)
 
-    return rows.select(id_col, media).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.select(id_col, media).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

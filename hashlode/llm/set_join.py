@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hashlode.llm.graph import components, local_labels
 from hashlode.llm.shared import broadcast_if_small, drop_stored, stored
-from hashlode.llm.spans import mix
+from hashlode.llm.spans import mix, tidy
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -61,7 +61,7 @@ def bucket_counts(rows: DataFrame, counted: Callable[[pa.RecordBatch], Iterator[
                 sums[c] = sums.get(c, 0) + np.frombuffer(part, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "sums"])
 
-    chunks = rows.mapInArrow(count, "chunk int, sums binary").repartition(min(-(-kinds * size // CHUNK), 32), "chunk").mapInArrow(add, "chunk int, sums binary").toArrow()
+    chunks = rows.mapInArrow(tidy(count), "chunk int, sums binary").repartition(min(-(-kinds * size // CHUNK), 32), "chunk").mapInArrow(tidy(add), "chunk int, sums binary").toArrow()
     out = np.zeros(kinds * size, np.int64)
     for c, part in zip(chunks["chunk"].to_pylist(), chunks["sums"].to_pylist(), strict=True):
         out[c * CHUNK : c * CHUNK + len(part) // 8] = np.frombuffer(part, np.int64)
@@ -182,7 +182,7 @@ def packed_index(classes: DataFrame, counts: np.ndarray, tile: int, packs: int)
         if n:
             yield from flush(held)
 
-    return classes.select("cls", "size", "bits", "bits2", "prefix").mapInArrow(run, "pack long, entries binary")
+    return classes.select("cls", "size", "bits", "bits2", "prefix").mapInArrow(tidy(run), "pack long, entries binary")
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -224,7 +224,7 @@ def candidate_links(index: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             label = merged(label, *np.concatenate(held, axis=1))
         yield forest(names, label)
 
-    return index.mapInArrow(run, "a long, b long")
+    return index.mapInArrow(tidy(run), "a long, b long")
 
 
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -9,7 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written (default, value): its shuffle files go at the end, nothing reads them again; batches to
+#: Python are small, since a row may hold a whole text.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,12 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # shuffle files go once the table is written: nothing reads them again
+    before = {k: spark.conf.get(k, default) for k, (default, _) in _WRITING.items()}
+    for k, (_, v) in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._hashlode_path = path
     return out

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from hashlode.llm.graph import components, local_labels
 from hashlode.llm.near_copies import BROADCAST_ROWS, near_copies, text_mark
 from hashlode.llm.shared import drop_all, free_names, stored, table
+from hashlode.llm.spans import tidy
 
 SEED = 42
 RADIUS = 4
@@ -67,7 +68,7 @@ def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", id_col: st
             fps = np.array([fingerprint(x.as_py() or b"", words) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {id_type}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(run), f"id {id_type}, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -199,7 +200,7 @@ def fingerprint_components(fps: DataFrame, radius: int = RADIUS, tile: int = TIL
         if held is not None and len(held[0]):
             yield compare(held[0], held[1:4], held[4])
 
-    found = dealt.mapInArrow(run, "a long, b long")
+    found = dealt.mapInArrow(tidy(run), "a long, b long")
     return components(found.distinct())
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes that part words: fixed values, [\x20\x09-\x0D].
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -67,3 +69,18 @@ def word_hashes(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h, starts, _ = flat_words(b" ".join(payloads) + b" ")
     lengths = np.fromiter((len(p) + 1 for p in payloads), np.int64, len(payloads))
     return h, np.searchsorted(np.cumsum(lengths), starts, side="right")
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, then free memory goes back to the system: Python workers live as long as their executor."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hashlode.llm.shared import drop_stored, new_path, stored, table
+from hashlode.llm.spans import tidy
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -145,7 +146,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     A revisit's payload length and digest are those it states.
     """
-    found = stored(_pieces(spark, path).mapInArrow(_read_pieces, _RECORD), "pieces")
+    found = stored(_pieces(spark, path).mapInArrow(tidy(_read_pieces), _RECORD), "pieces")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = found.groupBy("file", "block").agg(F.sum("size").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
     base = stored(base, "splits")
@@ -182,7 +183,7 @@ def _mend(spark: SparkSession, path: str, base: DataFrame, cut: DataFrame) -> Da
                 rel += len(value.as_buffer()) + len(MAGIC)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rels, pa.int64())], names=["value", "file", "block", "rel"])
 
-    pieces = _pieces(spark, path).mapInArrow(place, "value binary, file string, block long, rel long")
+    pieces = _pieces(spark, path).mapInArrow(tidy(place), "value binary, file string, block long, rel long")
     pieces = pieces.join(base, ["file", "block"]).select("file", "value", (F.col("base") + F.col("rel") - len(MAGIC)).alias("piece"))
     spans = cut.drop("payload_bytes", "payload_digest")
     pieces = pieces.withColumnRenamed("file", "in_file")
@@ -201,7 +202,7 @@ def _mend(spark: SparkSession, path: str, base: DataFrame, cut: DataFrame) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=[*keys, "payload_bytes", "payload_digest"])
 
     types = {f.name: f.dataType.simpleString() for f in parts.schema}
-    return parts.mapInArrow(assemble, ", ".join(f"{k} {types[k]}" for k in keys) + ", payload_bytes long, payload_digest string")
+    return parts.mapInArrow(tidy(assemble), ", ".join(f"{k} {types[k]}" for k in keys) + ", payload_bytes long, payload_digest string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
