@@ -355,7 +355,7 @@ def _check(image: Image, size: int) -> None:
             raise ValueError("scan not handled")
         for table_ in scan.ac if first else [] if before else scan.dc:
             counts = table_[:16]
-            if len(counts) < 16 or not sum(counts) or sum(counts) != len(table_) - 16 or sum(n << (15 - i) for i, n in enumerate(counts)) > 1 << 16 or (not first and max(table_[16:]) > 15):
+            if len(counts) < 16 or not sum(counts) or sum(counts) != len(table_) - 16 or sum(n << (15 - i) for i, n in enumerate(counts)) > 1 << 16:
                 raise ValueError("broken Huffman table")
         blocks, _, per = _scan_blocks(image, scan)
         if len(scan.segments) < -(-len(blocks) // per):

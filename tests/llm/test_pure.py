@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from hashlode.llm import byte_bpe, embedding_dedup, graph, line_dedup, progressive_jpeg, set_join, sharding, simhash, spans
+from hashlode.llm import byte_bpe, graph, line_dedup, progressive_jpeg, set_join, sharding, simhash, spans
 
 
 def test_word_hashes_see_words_only():
@@ -95,17 +95,6 @@ def test_differencing():
     assert sharding.difference_items([], 3) == ([0, 0, 0], [])
 
 
-def test_code_bounds_hold():
-    rng = np.random.default_rng(4)
-    v = rng.normal(size=(60, 48))
-    v[30:] = v[:30] + rng.normal(size=(30, 48)) * 0.2
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    codes, f, turned = embedding_dedup.encode(v)
-    assert (embedding_dedup.upper_bounds(codes, f, turned) >= v @ v.T - 1e-4).all()
-    signs = (np.unpackbits(codes, axis=1, count=48) * 2.0 - 1) / np.sqrt(48)
-    assert abs(((signs @ turned.T) / f[:, None] - v @ v.T).mean()) < 0.02  # the estimate is unbiased
-
-
 class Bits:
     def __init__(self):
         self.out, self.n, self.acc = bytearray(), 0, 0
