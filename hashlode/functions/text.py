@@ -61,8 +61,8 @@ def base64_line(b: Column) -> Column:
 
 
 def blank(s: Column) -> Column:
-    """Null or white space only; never null."""
-    return F.coalesce(F.trim(s) == "", F.lit(True))
+    """Null or white space only, of any kind; never null."""
+    return ~F.coalesce(s.rlike(r"(?U)\S"), F.lit(False))
 
 
 def short_hash(h: Column) -> Column:

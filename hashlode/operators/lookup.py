@@ -10,9 +10,14 @@ from hashlode.functions.net import xor_distance
 
 
 def match_inflight(requests: DataFrame, answers: DataFrame, timeout_ms: int = 900) -> DataFrame:
-    """requests(tx, sent_ms), answers(tx, got_ms): each request with its first answer in time, used once (E5, C14)."""
-    r, a = requests.alias("r"), answers.alias("a")
-    pairs = r.join(a, (F.col("r.tx") == F.col("a.tx")) & (F.col("a.got_ms") >= F.col("r.sent_ms")) & (F.col("a.got_ms") <= F.col("r.sent_ms") + timeout_ms))
+    """requests(tx, sent_ms), answers(tx, got_ms): each request with its first answer in time (E5, C14).
+
+    A request is open until its answer, its timeout, or the next request of its tx, which takes its place; so an answer
+    serves one request, the latest before it, and a request takes one answer.
+    """
+    until = F.least(F.col("sent_ms") + timeout_ms, F.coalesce(F.lead("sent_ms").over(Window.partitionBy("tx").orderBy("sent_ms")) - 1, F.col("sent_ms") + timeout_ms))
+    r, a = requests.select("tx", "sent_ms").distinct().withColumn("until", until).alias("r"), answers.alias("a")
+    pairs = r.join(a, (F.col("r.tx") == F.col("a.tx")) & (F.col("a.got_ms") >= F.col("r.sent_ms")) & (F.col("a.got_ms") <= F.col("r.until")))
     return pairs.groupBy(F.col("r.tx").alias("tx"), F.col("r.sent_ms").alias("sent_ms")).agg(F.min("a.got_ms").alias("got_ms"))
 
 

@@ -33,7 +33,8 @@ def merge(registry: DataFrame, changes: DataFrame) -> DataFrame:
     alters nothing. One shuffle on the hash serves both sides.
     """
     both = registry.unionByName(changes, allowMissingColumns=True)
-    latest = lambda c, ok: F.max_by(F.when(ok, F.col(c)), F.when(ok, F.col("last_seen_ms"))).alias(c)
+    # of rows last seen at the same time the greatest value, whatever the order of rows
+    latest = lambda c, ok: F.max_by(F.when(ok, F.col(c)), F.when(ok, F.struct("last_seen_ms", c))).alias(c)
     return both.groupBy("info_hash").agg(
         latest("title", ~blank(F.col("title"))), latest("magnet", ~blank(F.col("magnet"))), F.max(F.coalesce("seeders", F.lit(0))).alias("seeders"),
         latest("info_b64", F.col("info_b64").isNotNull()), F.min("first_seen_ms").alias("first_seen_ms"), F.max("last_seen_ms").alias("last_seen_ms"),
@@ -57,9 +58,10 @@ def detail(registry: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def ordered_scan(registry: DataFrame, column: str, cutoff: int, batch: int) -> DataFrame:
-    """Rows up to and with the cutoff, oldest first, then by hash (A3, A4)."""
-    return registry.where(F.col(column) <= cutoff).orderBy(F.greatest(F.col(column), F.lit(0)), "info_hash").limit(batch)
+def ordered_scan(registry: DataFrame, column: str, cutoff: int, batch: int | None) -> DataFrame:
+    """Rows up to and with the cutoff, oldest first, then by hash (A3, A4); all of them, unordered, without a batch."""
+    found = registry.where(F.col(column) <= cutoff)
+    return found if batch is None else found.orderBy(F.greatest(F.col(column), F.lit(0)), "info_hash").limit(batch)
 
 
 def worklist(registry: DataFrame, limit: int = 200) -> DataFrame:
@@ -107,7 +109,9 @@ def decode_values(rows: DataFrame, value: str = "value") -> DataFrame:
 
 
 def encode_values(rows: DataFrame) -> DataFrame:
-    return rows.select("info_hash", F.concat_ws("|", F.lit("SRM1"), "info_hash", "seeders", "first_seen_ms", "last_seen_ms").alias("value"))
+    """``SRM1|hash|seeders|first|last``; a null field is empty, and null again when decoded."""
+    fields = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("info_hash", "seeders", "first_seen_ms", "last_seen_ms"))
+    return rows.select("info_hash", F.concat_ws("|", F.lit("SRM1"), *fields).alias("value"))
 
 
 def peer_popularity(peers: DataFrame, cap: int = 50, per_hash: int = 64) -> DataFrame:

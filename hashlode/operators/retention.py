@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hashlode.operators.registry import delete, ordered_scan
+from hashlode.operators.registry import delete, missing_entries, ordered_scan
 
 
-def ttl_expired(registry: DataFrame, now_ms: int, ttl_secs: int, batch: int) -> DataFrame:
+def ttl_expired(registry: DataFrame, now_ms: int, ttl_secs: int, batch: int | None = None) -> DataFrame:
     """The oldest ``batch`` rows with last_seen <= now - ttl (M1, C4: inclusive)."""
     return ordered_scan(registry, "last_seen_ms", now_ms - ttl_secs * 1000, batch)
 
 
-def low_seed_expired(registry: DataFrame, now_ms: int, grace_secs: int, batch: int) -> DataFrame:
+def low_seed_expired(registry: DataFrame, now_ms: int, grace_secs: int, batch: int | None = None) -> DataFrame:
     """Among the oldest ``batch`` rows of few seeders up to the cutoff, those seen first over ``grace`` ago (M2, C5: strict)."""
     scanned = ordered_scan(registry.where("seeders < 2"), "first_seen_ms", now_ms - grace_secs * 1000, batch)
     return scanned.where(now_ms - F.col("first_seen_ms") > grace_secs * 1000)
@@ -23,10 +23,34 @@ def low_seed_expired(registry: DataFrame, now_ms: int, grace_secs: int, batch: i
 def over_cap(registry: DataFrame, most: int) -> DataFrame:
     """Rows to evict, oldest first by (last_seen, hash), so that ``most`` stay (M3); 0: no cap.
 
-    The excess is a top-k of (last_seen, hash): no window over all rows.
+    The excess may be most of the table: the last row to go is found by histograms, then a filter takes it and all
+    before it, without a sort. Rows of equal time and hash go together.
     """
-    excess = registry.count() - most
-    return registry.orderBy(F.greatest("last_seen_ms", F.lit(0)), "info_hash").limit(excess) if most > 0 and excess > 0 else registry.limit(0)
+    excess = registry.count() - most if most > 0 else 0
+    if excess <= 0:
+        return registry.limit(0)
+    seen = F.greatest("last_seen_ms", F.lit(0))
+    ms, left = _nth(registry.select(F.lpad(F.hex(seen), 16, "0").alias("k")), excess, 16)
+    at_ms = F.lpad(F.hex(seen), 16, "0")
+    last, _ = _nth(registry.where(at_ms == ms).select(F.col("info_hash").alias("k")), left, 40)
+    return registry.where((at_ms < ms) | ((at_ms == ms) & (F.col("info_hash") <= last)))
+
+
+def _nth(keys: DataFrame, n: int, width: int) -> tuple[str, int]:
+    """keys(k) of at most ``width`` hex digits: the n-th smallest, and n less the keys below it; a histogram of at most 65,536
+    counts for every four digits."""
+    prefix = ""
+    while len(prefix) < width:
+        part = keys.where(F.col("k").startswith(prefix)) if prefix else keys
+        counts = part.groupBy(F.substring("k", len(prefix) + 1, 4).alias("d")).count().collect()
+        for digits, m in sorted((r[0], r[1]) for r in counts):
+            if n <= m:
+                break
+            n -= m
+        prefix += digits
+        if len(digits) < 4:  # a shorter key ends here
+            break
+    return prefix, n
 
 
 def sweep(registry: DataFrame, now_ms: int, ttl_secs: int, grace_secs: int, most: int = 0, batch: int | None = None) -> DataFrame:
@@ -46,9 +70,13 @@ def sweep(registry: DataFrame, now_ms: int, ttl_secs: int, grace_secs: int, most
     return out.withColumn("action", F.when(F.col("evict"), "cap").otherwise(F.col("action"))).drop("evict")
 
 
-def sweep_counters(swept: DataFrame) -> DataFrame:
-    """what was scanned, deleted and kept."""
-    return swept.agg(F.count("*").alias("scanned"), F.count_if(F.col("action") != "keep").alias("deleted"), F.count_if(F.col("action") == "keep").alias("kept"))
+def sweep_counters(swept: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """what was scanned, deleted and kept; with an index(info_hash), also its entries that no row stands behind, which
+    a sweep takes out (stale_fixed)."""
+    told = swept.agg(F.count("*").alias("scanned"), F.count_if(F.col("action") != "keep").alias("deleted"), F.count_if(F.col("action") == "keep").alias("kept"))
+    if index is None:
+        return told
+    return told.crossJoin(missing_entries(index, swept).agg(F.count("*").alias("stale_fixed")))  # one row each
 
 
 def newest(arrivals: DataFrame, cap: int, by: list[str], order: list[str]) -> DataFrame:

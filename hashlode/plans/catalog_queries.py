@@ -37,7 +37,7 @@ def _index(spark, d):
 
 
 INDEX = V.CATALOG + """, idx AS (
-  SELECT p_partkey, info_hash, title, CASE WHEN trim(coalesce(magnet, '')) = '' THEN 'magnet:?xt=urn:btih:' || info_hash ELSE magnet END AS magnet, seeders,
+  SELECT p_partkey, info_hash, title, CASE WHEN NOT regexp_matches(coalesce(magnet, ''), '[^\\s]') THEN 'magnet:?xt=urn:btih:' || info_hash ELSE magnet END AS magnet, seeders,
          list_filter(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), lambda t: strlen(t) < 40) AS toks
   FROM catalog WHERE seeders >= 2)"""
 
@@ -84,12 +84,12 @@ def detail_all_defaults(spark, d):
     return R.detail(c, c.select("info_hash").union(spark.createDataFrame([("absent",)], "info_hash string")))
 
 
-@query(f"WITH {V.CATALOG} SELECT info_hash, title FROM catalog WHERE trim(coalesce(info_b64, '')) = '' ORDER BY info_hash LIMIT 200")
+@query(f"WITH {V.CATALOG} SELECT info_hash, title FROM catalog WHERE NOT regexp_matches(coalesce(info_b64, ''), '[^\\s]') ORDER BY info_hash LIMIT 200")
 def worklist_missing_info(spark, d):
     return R.worklist(V.catalog(spark, d)).select("info_hash", "title")
 
 
-@query(f"WITH {V.CATALOG} SELECT count(*) AS total, count(*) FILTER (trim(coalesce(info_b64, '')) = '') AS missing_info, count(*) FILTER (seeders < 2) AS low_seed FROM catalog")
+@query(f"WITH {V.CATALOG} SELECT count(*) AS total, count(*) FILTER (NOT regexp_matches(coalesce(info_b64, ''), '[^\\s]')) AS missing_info, count(*) FILTER (seeders < 2) AS low_seed FROM catalog")
 def backfill_counters(spark, d):
     return R.backfill_counters(V.catalog(spark, d))
 
@@ -231,8 +231,8 @@ _add("search_page_offset", _search("red promo", 20, 15), _search_sql({"red": 2.0
 _add("search_phrase", _search('"hot gear" economy'), _search_sql({"hot": 2.0, "gear": 2.0, "economy": 2.0}, "contains(' ' || array_to_string(toks, ' ') || ' ', ' hot gear ') AND " + _has("economy"), 0, 25))
 _add("search_boolean_or_not", _search("(widget OR gizmo) -red NOT small large"), _search_sql({"widget": 2.0, "gizmo": 2.0, "large": 2.0}, f"({_has('widget')} OR {_has('gizmo')}) AND NOT {_has('red')} AND NOT {_has('small')} AND {_has('large')}", 0, 25))
 _add("search_boost", _search("title:widget^3 cold"), _search_sql({"widget": 6.0, "cold": 2.0}, _has("widget", "cold"), 0, 25))
-_add("search_sanitized", _search("seeders:red bolt*"), _search_sql({"seeders": 2.0, "red": 2.0, "bolt": 2.0}, _has("seeders", "red", "bolt"), 0, 25))
-_add("search_far_page", _search("new", 2100, 5), _search_sql({"new": 2.0}, _has("new"), 2100, 5))
+_add("search_sanitized", _search("blue:* bolt?"), _search_sql({"blue": 2.0, "bolt": 2.0}, _has("blue", "bolt"), 0, 25))
+_add("search_far_page", _search("red", 60, 5), _search_sql({"red": 2.0}, _has("red"), 60, 5))
 
 
 @query(f"WITH {INDEX} SELECT info_hash, title, magnet, seeders FROM idx WHERE info_hash = sha1('11')")
@@ -293,14 +293,17 @@ _TTL = f"last_seen_ms <= {NOW_MS - TTL_SECS * 1000}"
 _LOW = f"seeders < 2 AND {NOW_MS} - first_seen_ms > {GRACE_SECS * 1000}"
 
 
-@query(f"WITH {V.LIFECYCLE} SELECT info_hash, last_seen_ms FROM lifecycle WHERE {_TTL} ORDER BY greatest(last_seen_ms, 0), info_hash LIMIT 500")
+LATER_MS, HALF_YEAR = NOW_MS + 2 * 366 * 86_400_000, 180 * 86400  # when some rows have not been seen for long
+
+
+@query(f"WITH {V.LIFECYCLE} SELECT info_hash, last_seen_ms FROM lifecycle WHERE last_seen_ms <= {LATER_MS - HALF_YEAR * 1000} ORDER BY greatest(last_seen_ms, 0), info_hash LIMIT 500")
 def retention_ttl(spark, d):
-    return K.ttl_expired(V.lifecycle(spark, d), NOW_MS, TTL_SECS, 500).select("info_hash", "last_seen_ms")
+    return K.ttl_expired(V.lifecycle(spark, d), LATER_MS, HALF_YEAR, 500).select("info_hash", "last_seen_ms")
 
 
 @query(f"WITH {V.LIFECYCLE} SELECT info_hash, first_seen_ms FROM lifecycle WHERE {_LOW}")
 def retention_low_seed(spark, d):
-    return K.low_seed_expired(V.lifecycle(spark, d), NOW_MS, GRACE_SECS, 2**31 - 1).select("info_hash", "first_seen_ms")
+    return K.low_seed_expired(V.lifecycle(spark, d), NOW_MS, GRACE_SECS).select("info_hash", "first_seen_ms")
 
 
 @query(f"WITH {V.LIFECYCLE} SELECT info_hash FROM (SELECT *, row_number() OVER (ORDER BY greatest(last_seen_ms, 0) DESC, info_hash DESC) AS n FROM lifecycle) WHERE n > 100")
@@ -444,7 +447,9 @@ def first_success(spark, d):
 
 
 @query("""WITH e AS (SELECT user_id AS tx, epoch_us(ts) // 1000 AS ms, event_type FROM events)
-SELECT r.tx, r.ms AS sent_ms, min(a.ms) AS got_ms FROM (SELECT DISTINCT tx, ms FROM e WHERE event_type = 'click') r JOIN e a ON a.tx = r.tx AND a.event_type = 'view' AND a.ms BETWEEN r.ms AND r.ms + 90000000 GROUP BY ALL""")
+SELECT r.tx, r.ms AS sent_ms, min(a.ms) AS got_ms
+FROM (SELECT tx, ms, lead(ms) OVER (PARTITION BY tx ORDER BY ms) AS after FROM (SELECT DISTINCT tx, ms FROM e WHERE event_type = 'click')) r
+JOIN e a ON a.tx = r.tx AND a.event_type = 'view' AND a.ms BETWEEN r.ms AND r.ms + 90000000 AND (r.after IS NULL OR a.ms < r.after) GROUP BY ALL""")
 def inflight_match(spark, d):
     e = V.table(spark, d, "events").select(F.col("user_id").alias("tx"), T.millis(F.col("ts")).alias("ms"), "event_type")
     sent = e.where("event_type = 'click'").select("tx", F.col("ms").alias("sent_ms")).distinct()

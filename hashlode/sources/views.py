@@ -20,7 +20,7 @@ def _sha(text) -> F.Column:
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     h, key = _sha(F.col("p_partkey")), F.col("p_partkey")
-    blob = F.when(key % 3 == 1, F.lit("  ")).when(key % 3 == 2, base64_line(F.col("p_name").cast("binary")))
+    blob = F.when(key % 3 == 1, F.lit("\t\n ")).when(key % 3 == 2, base64_line(F.col("p_name").cast("binary")))
     return part.select(
         "p_partkey", h.alias("info_hash"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"), F.when(key % 5 != 0, synthetic_magnet(h)).alias("magnet"),
         (F.col("p_size") % 7).cast("long").alias("seeders"), blob.alias("info_b64"),
@@ -31,7 +31,7 @@ CATALOG = """catalog AS (
   SELECT p_partkey, sha1(CAST(p_partkey AS VARCHAR)) AS info_hash, p_name || ' ' || p_type || ' ' || p_brand AS title,
          CASE WHEN p_partkey % 5 <> 0 THEN 'magnet:?xt=urn:btih:' || sha1(CAST(p_partkey AS VARCHAR)) END AS magnet,
          CAST(p_size % 7 AS BIGINT) AS seeders,
-         CASE p_partkey % 3 WHEN 1 THEN '  ' WHEN 2 THEN to_base64(encode(p_name)) END AS info_b64
+         CASE p_partkey % 3 WHEN 1 THEN chr(9) || chr(10) || ' ' WHEN 2 THEN to_base64(encode(p_name)) END AS info_b64
   FROM part)"""
 
 

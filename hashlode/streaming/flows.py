@@ -19,6 +19,7 @@ from hashlode.sources.scratch import scratch_path
 from hashlode.sources.views import observed_of
 
 SAMPLES_PER_MESSAGE = 256
+NONE_OPEN = -(1 << 62)
 
 
 def packet_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -86,12 +87,33 @@ def rolling_dedup_stream(observed: DataFrame, rotate_ms: int = ROTATE_MS, late:
     )
 
 
-def match_inflight_stream(requests: DataFrame, answers: DataFrame, timeout: str = "900 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """requests(tx, sent_ts) and answers(tx, got_ts), both with watermarks, joined within the timeout (K7)."""
-    r = requests.withWatermark("sent_ts", late).alias("r")
-    a = answers.withWatermark("got_ts", late).alias("a")
-    on = F.expr(f"r.tx = a.tx AND a.got_ts >= r.sent_ts AND a.got_ts <= r.sent_ts + INTERVAL {timeout}")
-    return r.join(a, on).select(F.col("r.tx").alias("tx"), "sent_ts", "got_ts")
+def match_inflight_stream(requests: DataFrame, answers: DataFrame, timeout_ms: int = 900, late: str = "10 seconds") -> DataFrame:
+    """requests(tx, sent_ts) and answers(tx, got_ts) as one stream: (tx, sent_ts, got_ts), match-once as in the batch form
+    (K7). Arrival order decides between batches, time within one; the state is the open request of a tx."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        open_ = state.get[0] if state.exists else NONE_OPEN
+        out = []
+        rows = sorted((r.ts.value // 1000, bool(r.is_answer)) for b in batches for r in b.itertuples())
+        for us, is_answer in rows:
+            if not is_answer:
+                open_ = us
+            elif open_ != NONE_OPEN and open_ <= us <= open_ + timeout_ms * 1000:
+                out.append((key[0], open_, us))
+                open_ = NONE_OPEN
+        state.update((open_,))
+        state.setTimeoutTimestamp(max((open_ if open_ != NONE_OPEN else rows[-1][0]) // 1000 + timeout_ms + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["tx", "sent_us", "got_us"])
+
+    kind = requests.schema["tx"].dataType.simpleString()
+    sent = requests.select("tx", F.col("sent_ts").alias("ts"), F.lit(False).alias("is_answer"))
+    both = sent.unionByName(answers.select("tx", F.col("got_ts").alias("ts"), F.lit(True).alias("is_answer"))).withWatermark("ts", late)
+    found = both.groupBy("tx").applyInPandasWithState(step, f"tx {kind}, sent_us long, got_us long", "open long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("tx", F.timestamp_micros("sent_us").alias("sent_ts"), F.timestamp_micros("got_us").alias("got_ts"))
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 from pyspark.sql import functions as F
 
 from hashlode.functions import net as N
+from hashlode.functions.text import blank
+from hashlode.operators import lookup
 from hashlode.operators import registry as R
 from hashlode.operators import retention as K
 from hashlode.operators.dedupe import rolling_dedup
+from hashlode.streaming import flows
 
 COLUMNS = "info_hash string, title string, magnet string, seeders long, info_b64 string, first_seen_ms long, last_seen_ms long"
 
@@ -47,3 +50,55 @@ def test_pieces_short_and_missing(spark):
     t = spark.createDataFrame([(1, 9), (2, 0)], "key long, total long")
     got = {r.key: bytes(r.payload) for r in R.assemble_pieces(p, t, 4).collect()}
     assert got == {1: b"AB\0\0\0\0\0\0z", 2: b""}
+
+
+def test_white_space_of_any_kind_is_blank(spark):
+    rows = {None: True, "": True, "  ": True, "\t\n\r ": True, "\u00a0\u2003": True, " x\t": False}
+    df = spark.createDataFrame([(k,) for k in rows], "s string").select("s", blank(F.col("s")).alias("b"))
+    assert {r.s: r.b for r in df.collect()} == rows
+
+
+def test_merge_ties_do_not_follow_row_order(spark):
+    rows = [("h", x, x, 1, x, 1, 5) for x in ("b", "c", "a")]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        df = spark.createDataFrame(order, COLUMNS)
+        assert [tuple(r) for r in R.merge(df, df.limit(0)).collect()] == [("h", "c", "c", 1, "c", 1, 5)]
+
+
+def test_null_fields_survive_a_rewrite(spark):
+    rows = [("h", None, 1, 2), ("g", 3, None, None)]
+    df = spark.createDataFrame(rows, "info_hash string, seeders long, first_seen_ms long, last_seen_ms long")
+    assert sorted(map(tuple, R.decode_values(R.encode_values(df).drop("info_hash")).collect()), key=str) == sorted(rows, key=str)
+
+
+def test_one_answer_serves_one_request(spark):
+    sent = spark.createDataFrame([("a", 0), ("a", 10), ("b", 0), ("b", 0), ("c", 0)], "tx string, sent_ms long")
+    got = spark.createDataFrame([("a", 20), ("a", 25), ("b", 5), ("b", 900), ("c", 901)], "tx string, got_ms long")
+    assert sorted(map(tuple, lookup.match_inflight(sent, got).collect())) == [("a", 10, 20), ("b", 0, 5)]
+
+
+def test_answers_match_once_as_a_stream(spark, tmp_path):
+    rows = [("a", 0, False), ("a", 10, False), ("a", 20, True), ("a", 25, True), ("b", 0, False), ("b", 5, True), ("b", 900, True), ("c", 0, False), ("c", 901, True)]
+    spark.createDataFrame(rows, "tx string, ms long, is_answer boolean").withColumn("ts", F.timestamp_millis(F.col("ms") + 10**9)).coalesce(1).write.parquet(f"{tmp_path}/in")
+    events = lambda: spark.readStream.schema("tx string, ms long, is_answer boolean, ts timestamp").parquet(f"{tmp_path}/in")
+    out = flows.match_inflight_stream(events().where("NOT is_answer").withColumnRenamed("ts", "sent_ts"), events().where("is_answer").withColumnRenamed("ts", "got_ts"))
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out").select("tx", F.unix_millis("sent_ts") - 10**9, F.unix_millis("got_ts") - 10**9).collect()
+    assert sorted(map(tuple, found)) == [("a", 10, 20), ("b", 0, 5)]
+
+
+def test_cap_without_a_sort(spark):
+    rows = [(f"{i * 7919 % 65537:040x}", None, None, 9, None, 0, i // 50 - 2) for i in range(1000)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    want = sorted((max(r[6], 0), r[0]) for r in rows)
+    for most in (1, 333, 999):
+        out = K.over_cap(df, most)
+        assert sorted((max(r.last_seen_ms, 0), r.info_hash) for r in out.collect()) == want[: 1000 - most]
+        assert "Sort" not in out._jdf.queryExecution().toString() and "SinglePartition" not in out._jdf.queryExecution().toString()
+    assert K.over_cap(df, 1000).count() == K.over_cap(df, 0).count() == 0
+
+
+def test_stale_entries_are_counted(spark):
+    swept = K.sweep(spark.createDataFrame([("a", None, None, 9, None, 0, 100), ("b", None, None, 9, None, 0, 0)], COLUMNS), 100_000, 50, 50)
+    index = spark.createDataFrame([("a",), ("x",), ("y",)], "info_hash string")
+    assert tuple(K.sweep_counters(swept, index).first()) == (2, 2, 0, 2)
