@@ -78,16 +78,17 @@ class ByteBpe:
         ranks = read_ranks(ranks_path)
         to_char = byte_characters()
         self.char_table = str.maketrans({chr(b): c for b, c in enumerate(to_char)})
-        self.byte_of = {c: b for b, c in enumerate(to_char)}
+        self.byte_of = np.zeros(max(map(ord, to_char)) + 1, np.uint8)  # the byte table reversed, by code point
+        self.byte_of[[ord(c) for c in to_char]] = np.arange(256)
         named = lambda token: "".join(to_char[b] for b in token)
         merges = [split_of(t, ranks) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) if len(t) > 1]
         self.tokenizer = Tokenizer(
             BPE(vocab={named(t): r for t, r in ranks.items()}, merges=[(named(a), named(b)) for a, b in filter(None, merges)], cache_capacity=0)
         )
-        self.tokens = {r: t for t, r in ranks.items()}
-        self.lengths = np.zeros(max(self.tokens) + 1, np.int64)
-        for r, t in self.tokens.items():
-            self.lengths[r] = len(t)
+        self.names = {r: named(t) for t, r in ranks.items()}
+        self.lengths = np.zeros(max(self.names) + 1, np.int64)
+        for r, t in self.names.items():
+            self.lengths[r] = len(t)  # a byte-character for each byte
         self.find = regex.compile(pattern).findall
         self.known = Matches(self)
 
@@ -108,7 +109,9 @@ class ByteBpe:
         return b"".join(map(known.__getitem__, matches))
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        """The tokens' byte-characters through the reversed byte table; parts of a split character meet again as bytes."""
+        chars = "".join(map(self.names.__getitem__, ids.tolist()))
+        return self.byte_of[np.frombuffer(chars.encode("utf-16-le"), "<u2")].tobytes()
 
     def offsets(self, ids: np.ndarray, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each token in characters; a token that holds part of a character covers all of it."""
@@ -127,9 +130,10 @@ def codec(ranks_path: str, pattern: str) -> ByteBpe:
 
 
 def encode_texts(
-    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", id_col: str = "doc_id", ids: bool = True, offsets: bool = True
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", id_col: str = "doc_id", ids: bool = True, offsets: bool = True, offsets_digest: bool = False
 ) -> DataFrame:
-    """One row per document: id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids and character offsets.
+    """One row per document: id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids, character offsets (starts,
+    ends) and offsets_sha256: of all starts, then all ends, as little-endian unsigned 32-bit integers.
 
     decoded_sha256 is of the bytes decoded from the ids. Null text is encoded as an empty one. Other columns of
     ``docs`` are not read.
@@ -139,8 +143,9 @@ def encode_texts(
         pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string()),
         *([pa.field("ids", pa.list_(pa.int32()))] if ids else []),
         *([pa.field("starts", pa.list_(pa.int32())), pa.field("ends", pa.list_(pa.int32()))] if offsets else []),
+        *([pa.field("offsets_sha256", pa.string())] if offsets_digest else []),
     ]
-    schema = f"{id_col} {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", starts array<int>, ends array<int>" * offsets
+    schema = f"{id_col} {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", starts array<int>, ends array<int>" * offsets + ", offsets_sha256 string" * offsets_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
@@ -159,10 +164,13 @@ def encode_texts(
                     rows["decoded_sha256"].append(hashlib.sha256(bpe.decode(coded)).hexdigest())
                     if ids:
                         rows["ids"].append(coded.astype(np.int32))
+                    if offsets or offsets_digest:
+                        a, b = (x.astype("<u4") for x in bpe.offsets(coded, value.encode("utf-8")))
                     if offsets:
-                        a, b = bpe.offsets(coded, value.encode("utf-8"))
                         rows["starts"].append(a.astype(np.int32))
                         rows["ends"].append(b.astype(np.int32))
+                    if offsets_digest:
+                        rows["offsets_sha256"].append(hashlib.sha256(a.tobytes() + b.tobytes()).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(rows[f.name], f.type) for f in fields)], names=[id_col, *(f.name for f in fields)]
                 )
@@ -191,8 +199,8 @@ def vocabulary() -> tuple[str, str]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: ids and decoded bytes of every whole text of documents, as digests."""
-    return encode_texts(table(spark, sf_dir, "documents"), *vocabulary(), ids=False, offsets=False)
+    """op2: ids, decoded bytes and character offsets of every whole text of documents, as digests."""
+    return encode_texts(table(spark, sf_dir, "documents"), *vocabulary(), ids=False, offsets=False, offsets_digest=True)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ END = "\r\n\r\n"
 REVISIT_FROM = 1000
 DATE = "2024-01-01T00:00:00Z"
 BROADCAST_ROWS = 100_000
+STRETCH = 1 << 20  # bytes of a file in which pieces meet the records that cover them
 _RECORD = "file string, block long, rel long, size long, head long, length long, kind string, id long, digest string, stated long, refers_to long, payload_bytes long, payload_digest string"
 
 
@@ -185,9 +186,11 @@ def _mend(spark: SparkSession, path: str, base: DataFrame, cut: DataFrame) -> Da
 
     pieces = _pieces(spark, path).mapInArrow(tidy(place), "value binary, file string, block long, rel long")
     pieces = pieces.join(base, ["file", "block"]).select("file", "value", (F.col("base") + F.col("rel") - len(MAGIC)).alias("piece"))
-    spans = cut.drop("payload_bytes", "payload_digest")
-    pieces = pieces.withColumnRenamed("file", "in_file")
-    joined = spans.join(pieces, (F.col("file") == F.col("in_file")) & (F.col("piece") >= F.col("offset")) & (F.col("piece") < F.col("next")))
+    # a record meets the pieces of the stretches of its file that it covers, not all of the file
+    stretch = lambda at: F.floor(at / STRETCH).cast("long")
+    spans = cut.drop("payload_bytes", "payload_digest").withColumn("part", F.explode(F.sequence(stretch(F.col("offset")), stretch(F.col("next")))))
+    pieces = pieces.withColumn("part", stretch(F.col("piece")))
+    joined = spans.join(pieces, ["file", "part"]).where("piece >= offset AND piece < next")
     keys = ["file", "offset", "head", "length", "kind", "id", "stated", "digest", "refers_to"]
     parts = joined.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("piece", "value"))).alias("parts"))  # one record's own bytes
 

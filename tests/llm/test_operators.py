@@ -44,6 +44,9 @@ def test_bpe_rows(odd, none):
     back = {r.doc_id: r.text for r in byte_bpe.decode_ids(byte_bpe.encode_texts(odd, *byte_bpe.vocabulary()), *byte_bpe.vocabulary()).collect()}
     assert back[9] == "été ÀÉ\nété ÀÉ" and back[1] == ""
     assert byte_bpe.encode_texts(none, *byte_bpe.vocabulary()).count() == 0
+    packed = lambda r: b"".join(x.to_bytes(4, "little") for x in (*r.starts, *r.ends))
+    digests = byte_bpe.encode_texts(odd, *byte_bpe.vocabulary(), ids=False, offsets=False, offsets_digest=True).collect()
+    assert sorted((str(r.doc_id), r.offsets_sha256) for r in digests) == sorted((str(r.doc_id), hashlib.sha256(packed(r)).hexdigest()) for r in rows)
 
 
 def test_language_rows(odd, none, docs):
