@@ -11,9 +11,11 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; in a temporary one only where the session names none (tests)."""
+    """A new path in the shared folder; in a temporary one only where a local session names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.setdefault(app, "") or _OWN.__setitem__(app, "file://" + tempfile.mkdtemp(prefix="hashlode-")) or _OWN[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

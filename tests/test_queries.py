@@ -39,14 +39,14 @@ def test_entry(spark):
 
 
 def test_whole_texts_are_sanitized(spark, con):
-    got = {r.doc_id: r.clean for r in CORE[0]["sanitize_text"](spark, SMALL).collect()}
+    got = {r.doc_id: r.clean for r in CORE[0]["sanitize_query"](spark, SMALL).collect()}
     text = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
     assert got == {i: None if t is None else "".join(" " if c in ":^~*?\\()[]{}!+-|" else c for c in t) for i, t in text.items()}
     assert any("\n" in t for t in got.values() if t)
 
 
 def test_every_catalog_row_has_a_detail(spark, con):
-    got = [r.info_hash for r in CORE[0]["detail_all_defaults"](spark, SMALL).collect()]
+    got = [r.info_hash for r in CORE[0]["detail_missing_defaults"](spark, SMALL).collect()]
     assert sorted(got) == sorted([h for h, in con.execute("SELECT sha1(CAST(p_partkey AS VARCHAR)) FROM part").fetchall()] + ["absent"])
 
 
