@@ -2,7 +2,7 @@
 
 A query is one scan: tokens are computed once per row, frequencies of the few query terms are counted in the row's
 own array, the corpus statistics are one aggregate of one row that is broadcast, and top-k keeps bounded heaps per
-task. For many queries over one corpus, ``build_postings`` stores term-clustered postings that prune by term.
+task. For many queries over one corpus, ``build_postings`` makes term-clustered postings, which ``postings`` searches.
 """
 
 from __future__ import annotations
@@ -33,6 +33,11 @@ def build_postings(index: DataFrame, id_col: str = "info_hash", title: str = "ti
     return out.repartitionByRange(F.col("term"), F.col(id_col)).sortWithinPartitions("term", id_col)
 
 
+def term_counts(index: DataFrame, id_col: str = "info_hash", title: str = "title") -> DataFrame:
+    """(info_hash, term, tf) without positions, in no order: one aggregate, combined before its shuffle."""
+    return index.select(id_col, F.explode(tokens(F.col(title))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+
+
 def doc_freq(index: DataFrame, title: str = "title") -> DataFrame:
     return index.select(F.explode(F.array_distinct(tokens(F.col(title)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
@@ -149,14 +154,17 @@ def fuzzy_matches(index: DataFrame, query: str) -> DataFrame:
     return out.withColumn("bm25", F.col("bm25") + extra)
 
 
-def ranked(matches: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Pool by bm25, then by bm25 with the popularity boost, seeders and hash; then the page (H1 to H4).
+def ranked(matches: DataFrame, offset: int, limit: int, with_fields=None) -> DataFrame:
+    """Pool by bm25, then by bm25 with the popularity boost, seeders and hash; then the page (H1 to H4). With
+    ``with_fields(rows, most)`` matches need only hash and bm25: it adds the fields of the pool's rows.
 
     The pool is max(requested, min(10 * requested, 2000)), so a far page is never an error.
     """
     requested = offset + limit
     pool = max(requested, min(10 * requested, POOL))
     best = matches.orderBy(F.round("bm25", 9).desc(), "info_hash").limit(pool)
+    if with_fields is not None:
+        best = with_fields(best, pool)
     score = F.round(F.col("bm25") + popularity_boost(F.col("seeders")), 9)
     return best.withColumn("score", score).orderBy(F.desc("score"), F.desc("seeders"), "info_hash").limit(requested).offset(offset)
 

@@ -8,11 +8,13 @@ from hashlode import api
 from hashlode.functions import bencode as B
 from hashlode.functions import net as N
 from hashlode.functions import text as T
-from hashlode.operators import dedupe, lookup
+from hashlode.operators import dedupe, enrich, lookup
+from hashlode.operators import postings as P
 from hashlode.operators import registry as R
 from hashlode.operators import retention as K
 from hashlode.operators import search as S
 from hashlode.sources import views as V
+from hashlode.sources.scratch import scratch_path
 from hashlode.streaming import flows
 
 QUERIES: dict = {}
@@ -131,7 +133,7 @@ def doc_freq(spark, d):
 
 @query(f"WITH {TOKENS} SELECT info_hash, term, count(*) AS tf FROM t GROUP BY info_hash, term")
 def token_freq(spark, d):
-    return S.build_postings(V.corpus(spark, d)).select("info_hash", "term", "tf")
+    return S.term_counts(V.corpus(spark, d))
 
 
 @query(f"WITH {V.CATALOG} SELECT info_hash, round(ln(greatest(seeders - 2, 0) + 1) / 4, {ROUND}) AS boost FROM catalog")
@@ -275,6 +277,60 @@ def postings_intersection(spark, d):
     return hits.groupBy("info_hash").agg(F.count("*").alias("n")).where("n = 2").select("info_hash")
 
 
+def _stored_postings(spark, index):
+    path = scratch_path(spark, "postings")
+    S.build_postings(index).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _by_postings(q: str, offset: int = 0, limit: int = 25, rows=_index):
+    def run(spark, d):
+        i = rows(spark, d)
+        return P.search_postings(_stored_postings(spark, i), i, S.corpus_stats(i), q, offset, limit, with_score=True).withColumn("score", F.round("score", ROUND))
+
+    return run
+
+
+_add("postings_search_and", _by_postings("blue bolt"), ORACLE_SQL["search_strict_and"])
+_add("postings_search_page", _by_postings("red promo", 20, 15), ORACLE_SQL["search_page_offset"])
+_add("postings_search_phrase", _by_postings('"hot gear" economy'), ORACLE_SQL["search_phrase"])
+_add("postings_search_boolean", _by_postings("(widget OR gizmo) -red NOT small large"), ORACLE_SQL["search_boolean_or_not"])
+_add("postings_search_fuzzy", _by_postings("widgte larg"), ORACLE_SQL["search_fuzzy_fallback"])
+_add("postings_search_documents", _by_postings("that was", rows=lambda spark, d: R.index_rows(V.corpus(spark, d))), ORACLE_SQL["search_documents_bm25"])
+
+
+@query(f"""WITH {INDEX}, now AS (
+  SELECT info_hash, CASE WHEN p_partkey % 5 = 1 THEN lower(title) || ' fresh blue' ELSE title END AS title FROM idx WHERE p_partkey % 5 <> 2),
+t AS (SELECT info_hash, list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) < 40) AS toks FROM now)
+SELECT info_hash, term, count(*) AS tf, array_to_string(list_sort(list(pos)), ' ') AS positions, CAST(any_value(dl) AS INTEGER) AS dl
+FROM (SELECT info_hash, len(toks) AS dl, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM t) GROUP BY info_hash, term""")
+def postings_upsert(spark, d):
+    """Every fifth part with a new title, every fifth gone."""
+    c, i = V.catalog(spark, d), _index(spark, d)
+    turn = lambda k: i.join(c.where(F.col("p_partkey") % 5 == k).select("info_hash"), "info_hash", "left_semi")
+    changes = turn(1).withColumn("title", F.concat(F.lower("title"), F.lit(" fresh blue")))
+    out = P.upsert_postings(_stored_postings(spark, i), changes, turn(2))
+    return out.select("info_hash", "term", "tf", F.array_join("positions", " ").alias("positions"), "dl")
+
+
+def _answer(h: str) -> bytes | None:
+    """Stands for the network: some hashes have no answer, some fail, the others have a name."""
+    if h[0] in "0123":
+        return None
+    if h[0] == "4":
+        raise TimeoutError(h)
+    return b"d4:name12:" + h[:12].encode() + b"e"
+
+
+@query(f"""WITH {V.CATALOG}, w AS (SELECT info_hash FROM catalog WHERE NOT regexp_matches(coalesce(info_b64, ''), '[^\\s]') ORDER BY info_hash LIMIT 1000),
+f AS (SELECT info_hash FROM w WHERE substr(info_hash, 1, 1) NOT IN ('0', '1', '2', '3', '4'))
+SELECT c.info_hash, CASE WHEN f.info_hash IS NULL THEN c.info_b64 ELSE to_base64(encode('d4:name12:' || substr(c.info_hash, 1, 12) || 'e')) END AS info_b64,
+       CASE WHEN f.info_hash IS NULL THEN c.title ELSE substr(c.info_hash, 1, 12) END AS title FROM catalog c LEFT JOIN f ON c.info_hash = f.info_hash""")
+def enrich_worklist(spark, d):
+    c = V.catalog(spark, d)
+    return enrich.apply_enriched(c, enrich.enrich(R.worklist(c, 1000), _answer, 8)).select("info_hash", "info_b64", "title")
+
+
 # retention
 
 _TTL = f"last_seen_ms <= {NOW_MS - TTL_SECS * 1000}"
@@ -472,3 +528,22 @@ def stream_registry(spark, d):
 @query(_ISLANDS)
 def stream_rolling_dedup(spark, d):
     return flows.replay_rolling_dedup(spark, d)
+
+
+DAY = 86400
+
+
+@query(f"""WITH {V.OBSERVED}, r AS (SELECT info_hash, min(ms) AS first_seen_ms, max(ms) AS last_seen_ms, max(seeders) AS seeders FROM obs GROUP BY info_hash),
+k AS (SELECT *, row_number() OVER (ORDER BY last_seen_ms DESC, info_hash DESC) AS n FROM r WHERE NOT last_seen_ms <= (SELECT max(last_seen_ms) FROM r) - {5 * DAY * 1000}
+  AND NOT (seeders < 2 AND (SELECT max(last_seen_ms) FROM r) - first_seen_ms > {DAY * 1000}))
+SELECT info_hash, first_seen_ms, last_seen_ms, seeders FROM k WHERE n <= 400""")
+def stream_sweep(spark, d):
+    return flows.replay_maintained(spark, d, 5 * DAY, DAY, 400)
+
+
+@query(f"""WITH {V.NODES} SELECT 4 AS family, id || v4_hex || printf('%04x', port) AS record FROM nodes UNION ALL SELECT 6, id || v6_hex || printf('%04x', port) FROM nodes""")
+def stream_nodes(spark, d):
+    port = F.lpad(F.lower(F.hex("port")), 4, "0")
+    told = lambda address: B.byte_string(F.unhex(F.concat("id", F.col(address), port)))
+    answer = B.dictionary(("r", B.dictionary(("id", B.byte_string(F.unhex("id"))), ("nodes", told("v4_hex")), ("nodes6", told("v6_hex")))), ("t", B.byte_string(F.lit(b"aa"))), ("y", B.text("r")))
+    return flows.replay_nodes(spark, V.nodes(spark, d).select(answer.alias("payload")))

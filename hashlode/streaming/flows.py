@@ -14,12 +14,14 @@ from hashlode.functions import bencode as B
 from hashlode.functions.net import chunks
 from hashlode.operators.dedupe import ROTATE_MS
 from hashlode.operators.registry import merge, touch_fold
+from hashlode.operators.retention import sweep
 from hashlode.schema import PACKET
 from hashlode.sources.scratch import scratch_path
 from hashlode.sources.views import observed_of
 
 SAMPLES_PER_MESSAGE = 256
 NONE_OPEN = -(1 << 62)
+FOLD = "info_hash string, first_seen_ms long, last_seen_ms long, seeders long"
 
 
 def packet_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -60,6 +62,67 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return merge(rows, rows.limit(0))
 
 
+def maintain_registry(observed: DataFrame, path: str, checkpoint: str, ttl_secs: int, grace_secs: int, most: int = 0, every: int = 8, **trigger: Any):
+    """The registry as a stream that keeps itself small (K5, K6, M1 to M3): each micro-batch appends its fold, and each
+    ``every`` batches the last base and the folds since become the next base, swept as of the latest time seen.
+
+    A base covers all batches up to its number and is read once it is whole; one older base and the folds after it stay,
+    so a batch replayed after a failure writes the same again.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        touch_fold(batch).write.mode("overwrite").parquet(f"{path}/folds/batch={n}")
+        if (n + 1) % every:
+            return
+        spark = batch.sparkSession
+        before = [b for b in _bases(spark, path) if b < n]
+        rows = _maintained(spark, path, before[-1] if before else -1, n)
+        now = rows.agg(F.max("last_seen_ms")).first()[0] or 0
+        kept = sweep(rows, now, ttl_secs, grace_secs, most).where("action = 'keep'").drop("action")
+        kept.write.mode("overwrite").parquet(f"{path}/base/upto={n}")
+        for b in before[:-1]:
+            _remove(spark, f"{path}/base/upto={b}")
+        for b in _numbers(spark, f"{path}/folds/batch=*"):
+            if before and b <= before[-1]:
+                _remove(spark, f"{path}/folds/batch={b}")
+
+    return observed.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def read_maintained(spark: SparkSession, path: str) -> DataFrame:
+    """The maintained registry: its last base with the folds since."""
+    bases = _bases(spark, path)
+    return _maintained(spark, path, bases[-1] if bases else -1, None)
+
+
+def _maintained(spark: SparkSession, path: str, base: int, last: int | None) -> DataFrame:
+    folds = spark.read.schema(f"{FOLD}, batch long").parquet(f"{path}/folds").where(F.col("batch") > base)
+    rows = (folds if last is None else folds.where(F.col("batch") <= last)).drop("batch")
+    if base >= 0:
+        rows = rows.unionByName(spark.read.schema(FOLD).parquet(f"{path}/base/upto={base}"))
+    return rows.groupBy("info_hash").agg(F.min("first_seen_ms").alias("first_seen_ms"), F.max("last_seen_ms").alias("last_seen_ms"), F.max("seeders").alias("seeders"))
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _numbers(spark: SparkSession, pattern: str) -> list[int]:
+    p, fs = _files(spark, pattern)
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in fs.globStatus(p) or ())
+
+
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    p, fs = _files(spark, f"{path}/base/upto=*/_SUCCESS")
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in fs.globStatus(p) or ())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p, fs = _files(spark, path)
+    fs.delete(p, True)
+
+
 def rolling_dedup_stream(observed: DataFrame, rotate_ms: int = ROTATE_MS, late: str = "1 hour") -> DataFrame:
     """Accepted (info_hash, bucket, ms). Arrival order decides between batches, time within one; the state of a hash is
     its accepted buckets that can still matter, dropped once the watermark is three rotations past them."""
@@ -135,3 +198,19 @@ def replay_rolling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = rolling_dedup_stream(_event_stream(spark, sf_dir))
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def replay_maintained(spark: SparkSession, sf_dir: str, ttl_secs: int, grace_secs: int, most: int) -> DataFrame:
+    """All events through the registry stream that sweeps itself."""
+    path = scratch_path(spark, "maintained")
+    maintain_registry(_event_stream(spark, sf_dir), path, scratch_path(spark, "progress"), ttl_secs, grace_secs, most, every=1, availableNow=True).awaitTermination()
+    return read_maintained(spark, path)
+
+
+def replay_nodes(spark: SparkSession, packets: DataFrame) -> DataFrame:
+    """Packets written as a capture and read back as a stream, to the nodes they tell of."""
+    captured, path = scratch_path(spark, "packets"), scratch_path(spark, "nodes")
+    packets.select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name not in packets.columns else F.col(f.name).cast(f.dataType) for f in PACKET.fields)).write.parquet(captured)
+    stream = learn_nodes(packet_stream(spark, captured))
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

@@ -1,8 +1,10 @@
+import os
+
 from pyspark.sql import functions as F
 
 from hashlode.functions import net as N
 from hashlode.functions.text import blank
-from hashlode.operators import lookup
+from hashlode.operators import enrich, lookup
 from hashlode.operators import registry as R
 from hashlode.operators import retention as K
 from hashlode.operators.dedupe import rolling_dedup
@@ -102,3 +104,32 @@ def test_stale_entries_are_counted(spark):
     swept = K.sweep(spark.createDataFrame([("a", None, None, 9, None, 0, 100), ("b", None, None, 9, None, 0, 0)], COLUMNS), 100_000, 50, 50)
     index = spark.createDataFrame([("a",), ("x",), ("y",)], "info_hash string")
     assert tuple(K.sweep_counters(swept, index).first()) == (2, 2, 0, 2)
+
+
+def test_a_maintained_registry_is_swept_between_batches(spark, tmp_path):
+    hour = 3_600_000
+    batches = [[("old", 0, 9), ("kept", 0, 9)], [("kept", 20 * hour, 1), ("low", 10 * hour, 1)], [("kept", 30 * hour, 0), ("new", 31 * hour, 5)], [("old", 32 * hour, 2)], [("late", 33 * hour, 1)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "info_hash string, ms long, seeders long").coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+        os.utime(next((tmp_path / "in" / f"part={i}").glob("*.parquet")), (1000 + i, 1000 + i))
+    seen = spark.readStream.schema("info_hash string, ms long, seeders long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    run = lambda: flows.maintain_registry(seen, f"{tmp_path}/reg", f"{tmp_path}/progress", 24 * 3600, 12 * 3600, every=2, availableNow=True).awaitTermination()
+    run()
+    got = sorted(map(tuple, flows.read_maintained(spark, f"{tmp_path}/reg").select("info_hash", "first_seen_ms", "last_seen_ms", "seeders").collect()))
+    # after batch 1 (20 h): low is in its grace; after batch 3 (32 h) low goes by it, and old came back before the sweep
+    assert got == [("kept", 0, 30 * hour, 9), ("late", 33 * hour, 33 * hour, 1), ("new", 31 * hour, 31 * hour, 5), ("old", 0, 32 * hour, 9)]
+    assert sorted(p.name for p in (tmp_path / "reg" / "base").iterdir()) == ["upto=1", "upto=3"]
+    assert sorted(p.name for p in (tmp_path / "reg" / "folds").glob("batch=*")) == ["batch=2", "batch=3", "batch=4"]
+
+
+def test_answers_that_fail_leave_rows_as_they_are(spark):
+    def fetch(h):
+        if h == "bad":
+            raise OSError(h)
+        return None if h == "none" else b"d4:name2:  e" if h == "blank" else b"d4:name3:newe"
+
+    reg = spark.createDataFrame([(h, "t", None, 3, None, 0, 0) for h in ("bad", "none", "blank", "good")], COLUMNS)
+    out = enrich.apply_enriched(reg, enrich.enrich(R.worklist(reg), fetch, 2))
+    got = {r.info_hash: (r.title, r.info_b64 is not None) for r in out.collect()}
+    assert got == {"bad": ("t", False), "none": ("t", False), "blank": ("t", True), "good": ("new", True)} and out.columns == reg.columns
+    assert enrich.enrich(reg.limit(0), fetch, 2).count() == 0

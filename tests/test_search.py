@@ -1,6 +1,7 @@
 import pytest
 
 from hashlode import api
+from hashlode.operators import postings as P
 from hashlode.operators import registry as R
 from hashlode.operators import search as S
 from hashlode.plans.query_language import QueryError, parse, parse_leniently, terms
@@ -70,3 +71,28 @@ def test_only_active_rows_are_searched(spark):
     reg = spark.createDataFrame(rows, "info_hash string, title string, magnet string, seeders long, info_b64 string, first_seen_ms long, last_seen_ms long")
     assert [tuple(r) for r in R.index_rows(reg).collect()] == [("2" * 40, "Torrent " + "2" * 40, "magnet:?xt=urn:btih:" + "2" * 40, 2)]
     assert api.search_api(reg, "a") == [] and api.search_api(reg, None) == [] and len(api.search_api(reg, "torrent")) == 1
+
+
+def test_postings_answer_as_the_scan_does(spark):
+    i = index(spark, ("1" * 40, "the matrix reloaded the end", 2), ("2" * 40, "matrix the", 9), ("3" * 40, "other reloaded", 2), ("4" * 40, None, 5), ("5" * 40, "", 5), ("abcdef12" + "0" * 32, "matrx", 3), ("6" * 40, "a a a", 2))
+    post, stats = S.build_postings(i).cache(), S.corpus_stats(i)
+    for q in ("the", '"the matrix"', '"the end"', '"a a"', "matrix -reloaded", "reloaded OR matrix^4", "-the", "matrixx", "abcdef13 matrx", "abcdef12", "*", '"matrix reloa"*', '"matrix end"~3', "...", " ", "nothing like it", "a matrx"):
+        want = [(r.info_hash, round(r.score, 9)) for r in S.search(i, q, with_score=True).collect()] if q.strip() else []
+        page = P.search_postings(post, i, stats, q, with_score=bool(q.strip()))
+        assert [(r.info_hash, round(r.score, 9)) for r in page.collect()] == want, q
+
+
+def test_only_postings_of_the_words_are_read(spark, tmp_path):
+    S.build_postings(index(spark, ("1" * 40, "the matrix", 2))).write.parquet(f"{tmp_path}/postings")
+    post = spark.read.parquet(f"{tmp_path}/postings")
+    stats = spark.createDataFrame([(1, 2.0)], "n_docs long, avg_len double")
+    plan = P.word_matches(post, stats, parse('"the matrix" other'))._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [" in plan and "tf:" not in plan
+
+
+def test_upsert_replaces_and_removes(spark):
+    i = index(spark, ("1" * 40, "old words", 2), ("2" * 40, "gone", 2), ("3" * 40, "stays", 2))
+    new = index(spark, ("1" * 40, "new words", 2), ("9" * 40, "added", 2))
+    out = P.upsert_postings(S.build_postings(i), new, spark.createDataFrame([("2" * 40,), ("8" * 40,)], "info_hash string"))
+    assert sorted((r.term, r.info_hash[0]) for r in out.collect()) == [("added", "9"), ("new", "1"), ("stays", "3"), ("words", "1")]
+    assert P.upsert_postings(out, new).count() == 4
