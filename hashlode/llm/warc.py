@@ -11,7 +11,7 @@ candidates; pointer jumping from offset 0 of every file, doubling each round, ke
 Records whose payload was cut by such magic are put together from the pieces they span.
 
 Null payloads are empty ones. Null ids are written without an id and read back as null; they never are what others
-refer to. Line breaks in URLs are percent-encoded, a null URL is left out. Equal ids give one record per row. No
+refer to. A record cut off by the end of its file gives the payload that is there. Line breaks in URLs are percent-encoded, a null URL is left out. Equal ids give one record per row. No
 rows give no records. Extra columns are not stored.
 """
 
@@ -33,6 +33,7 @@ END = "\r\n\r\n"
 REVISIT_FROM = 1000
 DATE = "2024-01-01T00:00:00Z"
 BROADCAST_ROWS = 100_000
+LONGEST = 1 << 62  # no record is longer; offsets are 64-bit numbers
 STRETCH = 1 << 20  # bytes of a file in which pieces meet the records that cover them
 _RECORD = "file string, block long, rel long, size long, head long, length long, kind string, id long, digest string, stated long, refers_to long, payload_bytes long, payload_digest string"
 
@@ -79,12 +80,15 @@ def _fields(piece: bytes) -> tuple[int | None, dict[bytes, bytes]]:
     if end < 0:
         return None, {}
     found = dict(x.split(b": ", 1) for x in piece[:end].split(b"\r\n") if b": " in x)
-    length = found.get(b"Content-Length", b"")
-    return (end + 4, found) if length.isdigit() and b"WARC-Type" in found else (None, {})
+    length = _number(found.get(b"Content-Length"))
+    return (end + 4, found) if length is not None and 0 <= length < LONGEST and b"WARC-Type" in found else (None, {})
 
 
 def _number(value: bytes | None) -> int | None:
-    return int(value) if value and value.lstrip(b"-").isdigit() else None
+    """A decimal number of 64 bits, else null: a payload that looks like a header may state anything."""
+    if not value or len(value) > 20 or not value.removeprefix(b"-").isdigit():
+        return None
+    return n if -(1 << 63) <= (n := int(value)) < 1 << 63 else None
 
 
 def _payload(kind: bytes, block: bytes) -> bytes:
@@ -149,7 +153,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     found = stored(_pieces(spark, path).mapInArrow(tidy(_read_pieces), _RECORD), "pieces")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = found.groupBy("file", "block").agg(F.sum("size").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
+    base = found.groupBy("file", "block").agg(F.sum("size").alias("s"))
+    base = base.withColumns({"base": F.coalesce(F.sum("s").over(before), F.lit(0)), "total": F.sum("s").over(Window.partitionBy("file"))}).drop("s")
     base = stored(base, "splits")
     few = base.count() <= BROADCAST_ROWS
     placed = found.join(F.broadcast(base) if few else base, ["file", "block"]).withColumn("offset", F.col("base") + F.col("rel") - len(MAGIC))
@@ -188,7 +193,7 @@ def _mend(spark: SparkSession, path: str, base: DataFrame, cut: DataFrame) -> Da
     pieces = pieces.join(base, ["file", "block"]).select("file", "value", (F.col("base") + F.col("rel") - len(MAGIC)).alias("piece"))
     # a record meets the pieces of the stretches of its file that it covers, not all of the file
     stretch = lambda at: F.floor(at / STRETCH).cast("long")
-    spans = cut.drop("payload_bytes", "payload_digest").withColumn("part", F.explode(F.sequence(stretch(F.col("offset")), stretch(F.col("next")))))
+    spans = cut.drop("payload_bytes", "payload_digest").withColumn("part", F.explode(F.sequence(stretch(F.col("offset")), stretch(F.least("next", "total")))))
     pieces = pieces.withColumn("part", stretch(F.col("piece")))
     joined = spans.join(pieces, ["file", "part"]).where("piece >= offset AND piece < next")
     keys = ["file", "offset", "head", "length", "kind", "id", "stated", "digest", "refers_to"]

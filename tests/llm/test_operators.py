@@ -211,6 +211,8 @@ def test_warc(spark):
     magic = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
     rows = [(1, "u", None), (2, None, ""), (3, "a\r\nWARC/1.1\r\nb", "x" * 1500), (4, "u", "x" * 1500), (5, "u", "é" * 400 + "\r\n\r\n" + magic + "z" * 5000), (6, "u", "WARC/1.1\r\n" * 30), (8, "u", "x" * 1500), (None, "u", "x" * 1500), (9, "u", "y" * 999), (10, "u", "y" * 999)]
     rows += [(100 + i, "u", "WARC/1.1\r\n" + "q" * i) for i in range(30)]
+    said = ["Content-Length: " + "9" * 30, "Content-Length: " + "9" * 18, "Content-Length: 0\r\nX-Row-Id: --5", "Content-Length: 0\r\nX-Row-Id: " + "8" * 25, "Content-Length: -4"]
+    rows += [(200 + i, "u", f"WARC/1.1\r\nWARC-Type: response\r\n{x}\r\n\r\n") for i, x in enumerate(said)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("digest", "n", "payload", "id")})
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
@@ -228,6 +230,17 @@ def test_warc(spark):
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_warc_cut_off(spark, tmp_path):
+    head = "WARC/1.1\r\nWARC-Type: response\r\nX-Row-Id: {}\r\nContent-Length: {}\r\n\r\n"
+    whole = head.format(1, 7) + "\r\n\r\nabc" + "\r\n\r\n"
+    for stated in (2000, 1 << 61):
+        path = tmp_path / f"{stated}.warc"
+        path.write_bytes((whole + head.format(2, stated) + "\r\n\r\n" + head.format(3, 0)).encode())
+        got = {r.id: (r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, f"file://{path}").collect()}
+        left = head.format(3, 0).encode()
+        assert got == {1: (3, hashlib.sha1(b"abc").hexdigest()), 2: (len(left), hashlib.sha1(left).hexdigest())}
+
+
 def test_media_rows(spark, odd, none):
     media = progressive_jpeg.store_texts(odd)
     got = {r.doc_id: r for r in progressive_jpeg.media_features(media).collect()}
