@@ -7,7 +7,8 @@ is the writer's line separator, so Spark's commit protocol writes the archives a
 Reading: the text reader cuts the files at the magic line, in splits of any size. Within a split a task knows the
 relative place of each piece; the lengths of the splits before it, summed per file, make that an offset. Each piece
 is a candidate record with its successor: offset + header + Content-Length + 4. Magic inside a payload makes false
-candidates; pointer jumping from offset 0 of every file, doubling each round, keeps the reachable ones only.
+candidates; pointer jumping from offset 0 of every file, doubling each round, keeps the reachable ones only: in numpy
+within a split, by joins across splits, where only a chain's entry to a split and its end there take part.
 Records whose payload was cut by such magic are put together from the pieces they span.
 
 Null payloads are empty ones. Null ids are written without an id and read back as null; they never are what others
@@ -18,14 +19,15 @@ rows give no records. Extra columns are not stored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hashlode.llm.shared import drop_stored, new_path, stored, table
+from hashlode.llm.shared import drop_all, drop_stored, new_path, stored, table
 from hashlode.llm.spans import tidy
 
 MAGIC = "WARC/1.1\r\n"
@@ -146,6 +148,65 @@ def reachable(links: DataFrame, start: int = 0) -> DataFrame:
         jump = doubled
 
 
+def _successors(offset: np.ndarray, next_: np.ndarray) -> np.ndarray:
+    """Index of the candidate at next_[i], or the one past the end if none is there. ``offset`` ascends."""
+    at = np.searchsorted(offset, next_)
+    there = at < len(offset)
+    there[there] = offset[at[there]] == next_[there]
+    return np.where(there, at, len(offset))
+
+
+def chain_ends(offset: np.ndarray, next_: np.ndarray) -> np.ndarray:
+    """Per candidate of a split, the successor of the last one of its chain within the split, by pointer jumping."""
+    n = len(offset)
+    to = np.append(_successors(offset, next_), n)
+    last = np.where(to < n, to, np.arange(n + 1))  # a chain's last candidate points at itself
+    while not np.array_equal(last[last], last):
+        last = last[last]
+    return next_[last[:n]]
+
+
+def chain_marks(offset: np.ndarray, next_: np.ndarray, entered: np.ndarray) -> np.ndarray:
+    """Per candidate of a split, whether a chain from one of the ``entered`` passes it, by pointer jumping."""
+    n = len(offset)
+    to, marks = np.append(_successors(offset, next_), n), np.append(entered, False)
+    while (to < n).any():
+        marks[to[marks]] = True
+        to = to[to]
+    return marks[:n]
+
+
+def _by_split(rows: DataFrame, added: Callable[..., np.ndarray], *columns: str, name: str, type_: str) -> DataFrame:
+    """``rows`` with one more column, computed from ``columns`` of a split's rows in order of offset; a split bounds them."""
+
+    def run(split: pa.Table) -> pa.Table:
+        split = split.sort_by("offset")
+        return split.append_column(name, pa.array(added(*(split[c].to_numpy() for c in columns))))
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.groupBy("file", "block").applyInArrow(run, f"{types}, {name} {type_}")
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """The candidates among ``records`` (file, block, offset, next, ...) that are reachable from the start of their file.
+
+    Chains are first followed within each split. Only candidates that a chain from another split ends at, and those at
+    offset 0, take part in the pointer jumping across splits: a few for each split. From those reached the chains of each
+    split are followed again.
+    """
+    links = records.select("file", "block", "offset", "next")
+    ends = stored(_by_split(links, chain_ends, "offset", "next", name="exit", type_="long"), "chains")
+    entries = ends.select("file", F.col("exit").alias("offset")).distinct()
+    entries = ends.select("file", "offset", F.col("exit").alias("next")).join(entries.withColumn("met", F.lit(True)), ["file", "offset"], "left")
+    entries = stored(entries.where("met OR offset = 0").drop("met"), "entries")
+    reached = reachable(entries)
+    told = ends.drop("exit").join(reached.withColumn("met", F.lit(True)), ["file", "offset"], "left").withColumn("entered", F.coalesce("met", F.lit(False))).drop("met")
+    passed = _by_split(told, chain_marks, "offset", "next", "entered", name="passed", type_="boolean")
+    passed = stored(passed.where("passed").select("file", "offset"), "passed")
+    drop_all(ends, entries, reached)
+    return records.join(passed, ["file", "offset"])
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per verified record: file, offset, record_type, id, payload_bytes, payload_digest, refers_to.
 
@@ -160,8 +221,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     placed = found.join(F.broadcast(base) if few else base, ["file", "block"]).withColumn("offset", F.col("base") + F.col("rel") - len(MAGIC))
     end = F.col("offset") + len(MAGIC) + F.col("head") + F.col("length")
     records = placed.where("head IS NOT NULL AND offset >= 0").withColumn("next", end + len(END))
-    kept = records.join(reachable(records.select("file", "offset", "next")), ["file", "offset"])
-    kept = stored(kept, "records")
+    kept = stored(verified(records), "records")
     whole = kept.where("payload_digest IS NOT NULL")
     cut = kept.where("payload_digest IS NULL")
     columns = ["file", "offset", "kind", "id", "stated", "digest", "refers_to", "payload_bytes", "payload_digest"]

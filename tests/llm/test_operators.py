@@ -241,6 +241,25 @@ def test_warc_cut_off(spark, tmp_path):
         assert got == {1: (3, hashlib.sha1(b"abc").hexdigest()), 2: (len(left), hashlib.sha1(left).hexdigest())}
 
 
+def test_warc_chains():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        offset = np.unique(rng.integers(0, 60, 25))
+        next_ = offset + rng.integers(1, 12, len(offset))
+        entered = rng.random(len(offset)) < 0.2
+        to, ends, marks = dict(zip(offset.tolist(), next_.tolist(), strict=True)), [], set(offset[entered].tolist())
+        for x in offset.tolist():
+            if x in marks:
+                marks.add(to[x])
+            while x in to:
+                x = to[x]
+            ends.append(x)
+        assert warc.chain_ends(offset, next_).tolist() == ends
+        assert warc.chain_marks(offset, next_, entered).tolist() == [x in marks for x in offset.tolist()]
+    empty = np.zeros(0, np.int64)
+    assert not len(warc.chain_ends(empty, empty)) and not len(warc.chain_marks(empty, empty, empty > 0))
+
+
 def test_media_rows(spark, odd, none):
     media = progressive_jpeg.store_texts(odd)
     got = {r.doc_id: r for r in progressive_jpeg.media_features(media).collect()}
