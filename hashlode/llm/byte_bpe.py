@@ -27,6 +27,8 @@ from hashlode.llm.spans import tidy
 
 KEPT_MATCHES = 250_000
 LONGEST_KEPT = 64
+ROWS_AT_ONCE = 512
+TOKENS_AT_ONCE = 1 << 18
 
 
 def byte_characters() -> list[str]:
@@ -150,30 +152,29 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
         for batch in batches:
-            for lo in range(0, max(batch.num_rows, 1), 512):
-                part = batch.slice(lo, 512)
-                if not part.num_rows:
-                    continue
-                rows = {f.name: [] for f in fields}
-                for value in part.column(1).to_pylist():
-                    value = value or ""
-                    packed = bpe.encode(value)
-                    coded = np.frombuffer(packed, "<u4")
-                    rows["n_tokens"].append(len(coded))
-                    rows["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                    rows["decoded_sha256"].append(hashlib.sha256(bpe.decode(coded)).hexdigest())
-                    if ids:
-                        rows["ids"].append(coded.astype(np.int32))
-                    if offsets or offsets_digest:
-                        a, b = (x.astype("<u4") for x in bpe.offsets(coded, value.encode("utf-8")))
-                    if offsets:
-                        rows["starts"].append(a.astype(np.int32))
-                        rows["ends"].append(b.astype(np.int32))
-                    if offsets_digest:
-                        rows["offsets_sha256"].append(hashlib.sha256(a.tobytes() + b.tobytes()).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(rows[f.name], f.type) for f in fields)], names=[id_col, *(f.name for f in fields)]
-                )
+            rows, first, held = {f.name: [] for f in fields}, 0, 0
+            for i in range(batch.num_rows):
+                value = batch.column(1)[i].as_py() or ""
+                packed = bpe.encode(value)
+                coded = np.frombuffer(packed, "<u4")
+                rows["n_tokens"].append(len(coded))
+                rows["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+                rows["decoded_sha256"].append(hashlib.sha256(bpe.decode(coded)).hexdigest())
+                if ids:
+                    rows["ids"].append(coded.astype(np.int32))
+                if offsets or offsets_digest:
+                    a, b = (x.astype("<u4") for x in bpe.offsets(coded, value.encode("utf-8")))
+                if offsets:
+                    rows["starts"].append(a.astype(np.int32))
+                    rows["ends"].append(b.astype(np.int32))
+                if offsets_digest:
+                    rows["offsets_sha256"].append(hashlib.sha256(a.tobytes() + b.tobytes()).hexdigest())
+                held += len(coded)
+                if held >= TOKENS_AT_ONCE or i + 1 - first == ROWS_AT_ONCE or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(first, i + 1 - first), *(pa.array(rows[f.name], f.type) for f in fields)], names=[id_col, *(f.name for f in fields)]
+                    )
+                    rows, first, held = {f.name: [] for f in fields}, i + 1, 0
 
     return docs.select(id_col, text).mapInArrow(tidy(run), schema)
 
@@ -204,5 +205,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the pipeline: token ids and their character offsets are not stored, ids are."""
-    return encode_texts(docs, *vocabulary(), ids=True, offsets=False)
+    """Last stage of the pipeline: per document its token ids, their character offsets and the digests of both ways."""
+    return encode_texts(docs, *vocabulary())
