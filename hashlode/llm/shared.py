@@ -15,6 +15,9 @@ _WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"),
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
 }
+#: A key's rows in one task of ``dealt_join``, and how many keys can have more.
+PART_ROWS = 1 << 12
+HOT_KEYS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,6 +78,25 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000, size: int = 32 << 20)
     return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
+def dealt_join(rows: DataFrame, told: DataFrame, key: str, salt: list[str], n: str = "n") -> DataFrame:
+    """``rows`` joined with ``told`` (one row per key, n: the key's rows; n itself is dropped).
+
+    A key of more than ``most`` rows meets in several tasks, dealt by the hash of the columns ``salt``; its row of ``told``
+    is repeated for each. No more than about ``HOT_KEYS`` keys can be that large, which proves the size of the broadcast.
+    """
+    total, largest = told.agg(F.sum(n), F.max(n)).first()
+    most = max(PART_ROWS, (total or 0) // HOT_KEYS)
+    if (largest or 0) <= most:
+        return rows.join(told.drop(n), key)
+    part, parts = free_names(rows.join(told, key), "part", "parts")
+    parts_of = F.ceil(F.col(n) / F.lit(most)).cast("int")
+    hot = told.where(F.col(n) > most).select(key, parts_of.alias(parts))
+    mine = F.pmod(F.xxhash64(*salt), F.coalesce(F.col(parts), F.lit(1))).cast("int")
+    left = rows.join(F.broadcast(hot), key, "left").withColumn(part, mine).drop(parts)
+    right = told.withColumn(part, F.explode(F.sequence(F.lit(0), parts_of - 1))).drop(n)
+    return left.join(right, [key, part]).drop(part)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """``wanted``, with underscores added until no column of ``df`` has the name (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hashlode.llm.graph import components, local_labels
 from hashlode.llm.near_copies import BROADCAST_ROWS, near_copies, text_mark
-from hashlode.llm.shared import drop_all, free_names, stored, table
+from hashlode.llm.shared import dealt_join, drop_all, drop_stored, free_names, stored, table
 from hashlode.llm.spans import tidy
 
 SEED = 42
@@ -226,9 +226,10 @@ def one_of_each_group(docs: DataFrame, found: DataFrame, text: str = "text", id_
     """Of each component of found(id, mark, component) the row of smallest id (null last, then by mark) stays."""
     id_, mark = free_names(docs, "id", "mark")
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("mark").alias("mark"))
-    best = found.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = found.join(best, "component").select(F.col(id_col).alias(id_), F.col("mark").alias(mark), (place == F.col("best")).alias("is_best"))
+    best = stored(found.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("n")).where("n > 1"), "best")
+    told = dealt_join(found, best, "component", [id_col, "mark"]).select(F.col(id_col).alias(id_), F.col("mark").alias(mark), (place == F.col("best")).alias("is_best"))
     told = stored(told.groupBy(id_, mark).agg(F.max("is_best").alias("is_best"), F.count("*").alias("n")).where("NOT is_best OR n > 1").drop("n"), "told")
+    drop_stored(best)
     few = told.count() <= BROADCAST_ROWS  # else the texts are shuffled by id
 
     def rows(which: DataFrame, how: str) -> DataFrame:

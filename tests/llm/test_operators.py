@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hashlode.llm import byte_bpe, embedding_dedup, graph, importance_quality, language_id, line_dedup, mixing, near_copies, progressive_jpeg, sharding, simhash, warc
+from hashlode.llm import shared
 from hashlode.llm.shared import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -166,6 +167,22 @@ def test_near_copies_against_brute_force(spark, docs):
     assert any(far[d] == d != c for d, c in want.items())  # op7's radius alone leaves some of them
 
 
+def test_hot_keys_meet_in_parts(spark, docs, monkeypatch):
+    rows = spark.range(500).select("id", F.when(F.col("id") < 300, 7).otherwise(F.col("id") % 40).alias("k"), F.lit(1).alias("part"))
+    told = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
+    want = sorted(map(tuple, rows.join(told.drop("n"), "k").select("k", "id", "part", "s").collect()))
+    texts = docs.unionByName(docs.limit(3)).withColumn("text", F.when(F.col("doc_id") % 3 == 0, "one text of a third of all rows").otherwise(F.col("text")))
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(texts).collect()}
+    kept = sorted(r.doc_id for r in simhash.stage(spark, texts, "").collect())
+    monkeypatch.setattr(shared, "PART_ROWS", 5)
+    found = shared.dealt_join(rows, told, "k", ["id"])
+    assert "parts" in found._jdf.queryExecution().analyzed().toString() and found.columns == ["k", "id", "part", "s"]
+    assert sorted(map(tuple, found.collect())) == want
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(texts).collect()} == groups
+    assert sorted(r.doc_id for r in simhash.stage(spark, texts, "").collect()) == kept
+    assert shared.dealt_join(rows.limit(0), told.limit(0), "k", ["id"]).count() == 0
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
