@@ -207,13 +207,14 @@ def fingerprint_components(fps: DataFrame, radius: int = RADIUS, tile: int = TIL
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 4, text: str = "text", id_col: str = "doc_id", tile: int = TILE) -> DataFrame:
     """Per document: id, fp (long), component_id (smallest id reachable)."""
     all_ = stored(fingerprints(docs, words, text, id_col), "fingerprints")
-    distinct = stored(all_.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    distinct = stored(all_.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
     grouped = stored(fingerprint_components(distinct.select("fp"), radius, tile).toDF("fp", "component"), "components")
     named = stored(distinct.join(grouped, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
     drop_all(distinct, grouped)
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return all_.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    # one fingerprint or component may hold a third of all rows
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    by_fp = dealt_join(named.drop("least"), least, "component", ["fp"], "fps").drop("component")
+    return dealt_join(all_, stored(by_fp, "by_fp"), "fp", ["id"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
