@@ -167,6 +167,57 @@ def test_near_copies_against_brute_force(spark, docs):
     assert any(far[d] == d != c for d, c in want.items())  # op7's radius alone leaves some of them
 
 
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 4, 5, 255, 256, 700])
+    h = rng.integers(0, 2**64, int(sizes.sum()), np.uint64)
+    got = near_copies.fingerprints(h, sizes)
+    for fp, some in zip(got, np.split(h, np.cumsum(sizes)[:-1]), strict=True):
+        assert [int(fp[0]) >> b & 1 for b in range(64)] == [int(2 * sum(int(x) >> b & 1 for x in some) > len(some)) for b in range(64)]
+    assert len(set(got[5].tolist())) == near_copies.LANES
+
+    base, flips = rng.integers(0, 2**64, (40, 4), np.uint64), rng.integers(0, 2**64, (40, 4, 2), np.uint64)
+    fps = np.concatenate((base, base ^ (flips[..., 0] & flips[..., 1]))).T  # 64 of 256 bits apart on average
+    size = rng.integers(70, 100, 80)
+    apart = lambda i, j: sum((int(a) ^ int(b)).bit_count() for a, b in zip(fps[:, i], fps[:, j], strict=True))
+    want = {(i, j) for j in range(80) for i in range(j) if apart(i, j) <= 64 and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])}
+    for at_once in (near_copies.PAIRS_AT_ONCE, 7):
+        monkeypatch.setattr(near_copies, "PAIRS_AT_ONCE", at_once)
+        assert want == {(int(a), int(b)) for i, j in near_copies.close_pairs(fps, size, 64, (4, 5)) for a, b in zip(i, j, strict=True)} and 10 < len(want) < 40
+    monkeypatch.undo()
+
+    assert [len(x) for x in near_copies.tables(2048, 2048)] == [0]
+    some = near_copies.tables(200_000, 2048)
+    assert len({int(b) for t in some for b in t}) == sum(map(len, some)) and (1 - (1 - near_copies.APART) ** len(some[0])) ** len(some) <= near_copies.MISS
+    rows = []
+    for g in range(40):
+        words = [f"g{g}w{x}" for x in rng.integers(0, 1000, 150)]
+        rows += [(g, " ".join(words)), (1000 + g, " ".join([*words[:60], "changed", *words[61:]])), (2000 + g, " ".join(words[:75] + words[::-1][:75]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "BUCKET_ROWS", 16)
+    groups = lambda **o: {r.doc_id: r.component_id for r in near_copies.near_copies(df, **o).collect()}
+    assert len(near_copies.tables(len(rows), 16)) > 1 and groups() == {d: d if d >= 2000 else d % 1000 for d, _ in rows}
+    assert groups(radius=-1) == {d: d for d, _ in rows}  # the links come from fingerprints only
+
+
+def test_sets_are_sent_in_rounds(spark, monkeypatch):
+    by_tiles, budget = {1: 100, 7: 700, 30: 3000}, 8000
+    found = list(near_copies.rounds(by_tiles, budget))
+    assert [d for lo, hi in found for d in range(lo, hi)] == list(range(30)) and len(found) < 30
+    assert all(hi == lo + 1 or sum(w * (min(t, hi) - lo) for t, w in by_tiles.items() if t > lo) <= budget for lo, hi in found)
+    words = [f"w{x}" for x in range(200)]
+    df = spark.createDataFrame([(i, " ".join([*words[:100], f"own{i}", *words[100:]])) for i in range(16)], "doc_id long, text string")
+    verified, sent = near_copies.verified_links, []
+
+    def counted(sets, threshold):
+        sent.append(sets.count())
+        return verified(sets, threshold)
+
+    monkeypatch.setattr(near_copies, "verified_links", counted)
+    assert {r.component_id for r in near_copies.near_copies(df, tile=4).collect()} == {0}
+    assert sent == [16] * 4  # never all pairs of tiles at once
+
+
 def test_hot_keys_meet_in_parts(spark, docs, monkeypatch):
     rows = spark.range(500).select("id", F.when(F.col("id") < 300, 7).otherwise(F.col("id") % 40).alias("k"), F.lit(1).alias("part"))
     told = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
