@@ -244,6 +244,7 @@ def one_of_each_group(docs: DataFrame, found: DataFrame, text: str = "text", id_
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of five-word shingles, not op7's 4 bits) stays: the one of
-    smallest id. Decided row by row: rows of equal ids and different texts are different documents."""
+    """One document of each group of near copies stays: the one of smallest id. SimHash of five-word shingle sets in 256
+    bits finds the pairs, whole sets verify them at 0.8 (``near_copies``; not op7's 4 of 64 bits). Decided row by row: rows
+    of equal ids and different texts are different documents."""
     return one_of_each_group(docs, near_copies(docs))
